@@ -28,6 +28,7 @@ ROUNDS = 3
 BEAM = 64
 ENTRIES = 16
 QUERY_BLOCK = 4096
+MERGE = 64
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -144,7 +145,7 @@ def greedy(x: np.ndarray, links: np.ndarray, queries: np.ndarray, k: int, beam:
 
 
 def _search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int) -> DataFrame:
-    """query_id, members and score of each shard's ``k`` best nodes; work is dealt by shard and block of queries."""
+    """query_id and ``hits``, its ``k`` best nodes over all shards; work is dealt by shard and block of queries."""
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     shards = points.agg(F.max("shard")).first()[0]
@@ -157,9 +158,10 @@ def _search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int, bea
     def run(key, left, right):
         import pyarrow as pa
 
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())], names=["query_id", "members", "score"])
+        hit = pa.struct([("far", pa.float64()), ("members", pa.list_(pa.int64()))])
+        kinds = {"query_id": pa.int64(), "shard": pa.int32(), "hits": pa.list_(hit)}
         if not left.num_rows or not right.num_rows:
-            return empty
+            return pa.table([pa.array([], t) for t in kinds.values()], names=list(kinds))
         x, rank = _matrix(left), np.asarray(left.column("rank"))
         lists, members = [None] * len(x), [None] * len(x)
         for r, found, own in zip(rank, left.column("links").to_pylist(), left.column("members").to_pylist(), strict=True):
@@ -171,11 +173,17 @@ def _search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int, bea
         parts = []
         for s in range(0, len(ids), 512):
             order, value = greedy(x, links, vectors[s : s + 512], k, beam)
-            row, col = np.nonzero(order >= 0)
-            parts.append(pa.table([pa.array(ids[s : s + 512][row]), pa.array([members[t] for t in order[row, col]], pa.list_(pa.int64())), pa.array(value[row, col])], names=["query_id", "members", "score"]))
+            hits = [[{"far": -v, "members": members[t]} for t, v in zip(o, w, strict=True) if t >= 0] for o, w in zip(order.tolist(), value.tolist(), strict=True)]
+            own = ids[s : s + 512]
+            parts.append(pa.table([pa.array(c, t) for c, t in zip((own, np.full(len(own), key[0].as_py()), hits), kinds.values(), strict=True)], names=list(kinds)))
         return pa.concat_tables(parts)
 
-    return base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id long, members array<long>, score double")
+    found = base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id long, shard int, hits array<struct<far:double,members:array<long>>>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits")
+    while (shards or 0) > 0:  # a bounded number of shards' answers meet at a time
+        shards //= MERGE
+        found = found.groupBy("query_id", F.floor(F.col("shard") / MERGE).cast("int").alias("shard")).agg(best)
+    return found.select("query_id", "hits")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
@@ -188,7 +196,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEA
     points = nodes(usable(vectors).where("vec_id is not null").distinct(), k + 1)
     asked = durable(usable(queries, "query_id").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
     found = _search(points, neighbour_graph(points), asked, k + 1, beam)
-    listed = found.select("query_id", F.explode("members").alias("vec_id"), "score").where("vec_id <> query_id")
+    hits = found.select("query_id", F.explode("hits").alias("h")).select("query_id", F.explode("h.members").alias("vec_id"), (-F.col("h.far")).alias("score"))
+    listed = hits.where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
