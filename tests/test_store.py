@@ -14,7 +14,7 @@ from feedlake.plans.lock import PartitionLock
 from feedlake.plans.store import Store
 from feedlake.streaming.feed import stream_records
 
-SCHEMA = T.StructType.fromDDL("customer string, sku string, period string, cost double, version long")
+SCHEMA = T.StructType([T.StructField(n, t) for n, t in zip(("customer", "sku", "period", "cost", "version"), (T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.LongType()), strict=True)])
 
 
 @pytest.fixture
@@ -126,7 +126,7 @@ def test_rebuild(spark, store):
     assert {r["ext_job_id"] for r in again.files().collect()} == {"j"}
 
 
-def test_filters_config_and_keys():
+def test_filters_config_and_keys(spark):
     find = lambda name: F.col(name)
     with pytest.raises(ValueError):
         Between("a", "z", "a").to_column(find)
