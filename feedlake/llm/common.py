@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,6 +39,12 @@ def drop_durable(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_crc(column: str) -> Column:
     """CRC-32 of an id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable
+from .common import drop_durable, durable, sweep
 
 LENGTH = 200
 ANCHOR = 64
@@ -163,20 +163,29 @@ class SuffixIndex:
     def matches(self, docs: DataFrame) -> DataFrame:
         """doc_id, mark, ``start``, ``run`` and ``at`` of each run with a match: which of its windows match, null for all.
 
-        ``docs`` are all rows that were added.
+        ``docs`` are all rows that were added. The index is used up: its levels are deleted once scanned.
         """
         hits = suffix_array(docs, self.length).join(self.repeated(), F.col("anchor") == F.col("again")).drop("again")
         hits = durable(hits, "hits")
+        for _, level in self.levels:
+            drop_durable(level)
+        self.levels = []
+        sweep(hits.sparkSession)
         alike = hits.where("same").select("doc_id", "mark", "start", "run", F.lit(None).cast("array<int>").alias("at"))
         mixed = hits.where("not same")
         contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "start", "run")).alias("one"))
         contents = durable(contents.select("anchor", "content", "times", "one.*"), "contents")
         windows = durable(self._open(docs, contents), "windows")
+        sweep(hits.sparkSession)
         twice = windows.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1").select(F.col("window").alias("shared"))
         shared = windows.join(twice, F.col("window") == F.col("shared")).where("times = 1")
         partly = shared.groupBy("anchor", "content").agg(F.sort_array(F.collect_list("offset")).alias("at"))
         whole = contents.where("times > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("at"))
-        covers = durable(partly.union(whole), "covers").select(F.col("anchor").alias("a"), F.col("content").alias("c"), "at")
+        kept = durable(partly.union(whole), "covers")
+        drop_durable(windows)
+        drop_durable(contents)
+        sweep(hits.sparkSession)
+        covers = kept.select(F.col("anchor").alias("a"), F.col("content").alias("c"), "at")
         opened = mixed.join(covers, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c"))).select("doc_id", "mark", "start", "run", "at")
         return alike.union(opened)
 
