@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlake.llm import iblt, langid, packing, pii, quality, simhash, suffixes, warc
+from feedlake.llm.common import durable
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,10 +41,9 @@ def test_language(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_prefers_what_it_has_seen():
     model = langid.KneserNey.fit({"x": ["abab aba bab abba"]}, order=3)
-    total = sum(np.exp(model.word_scores(["ab" + c])[0, 0] - model.word_scores(["ab"])[0, 0] + 0) for c in ())
-    assert total == 0 and len(model.keys) == 3
+    assert len(model.keys) == 3
     score = model.word_scores(["ab", "zz"])
     assert score[0, 0] > score[1, 0] and score[0, 1] == 3
 
@@ -168,7 +168,7 @@ def test_fingerprints(spark):
     lines = ["\n".join(f"line {k % 7} {n}" for k in range(n)) for n in range(40)]
     docs = frame(spark, [*lines, lines[5], None, "", "\n".join(f"long {k}" for k in range(400))])
     rows = iblt.with_next(docs).withColumns({"a": iblt.digests(F.col("text")), "b": iblt.digests(F.col("next_text"))})
-    near = iblt.likeness(rows.withColumn("row", F.monotonically_increasing_id()).localCheckpoint(), near=("a", "b")).withColumn("tried", F.size(iblt.difference(F.col("a"), F.col("b"))))
+    near = iblt.likeness(durable(rows.withColumn("row", F.monotonically_increasing_id()), "test"), near=("a", "b")).withColumn("tried", F.size(iblt.difference(F.col("a"), F.col("b"))))
     for r in near.withColumn("shown", iblt.fingerprint(F.col("a"))).collect():
         a, b = set(r["a"]), set(r["b"])
         assert r["near"] == (len(a & b) / len(a | b) if a | b else 1.0) and r["tried"] == len(a ^ b)
