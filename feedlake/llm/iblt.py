@@ -28,6 +28,7 @@ PART = 48
 ROUNDS = 12
 MOST_BUCKETS = 65_536
 BUCKET_DOCS = 64
+TASK_ROWS = 2500
 
 
 def _let(value: Column, body) -> Column:
@@ -158,7 +159,8 @@ def _share(a: Column, more: Column, less: Column) -> Column:
 
 def likeness(rows: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     """``rows``, which has a unique column ``row``, with each named pair's shared part of distinct paragraphs; 1 for two blank texts."""
-    dealt = rows.repartition("row")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(max(tasks, -(-rows.count() // TASK_ROWS)), "row")  # cells take far more room than rows
     names = list(pairs)
     both = F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), F.col(x).alias("x"), F.col(y).alias("y")) for p, (x, y) in enumerate(pairs.values()))))
     peeled = subtract_and_peel(dealt.select("row", both.alias("p")).select("row", "p.*"))
