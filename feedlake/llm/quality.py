@@ -97,19 +97,19 @@ class QualityModel:
         return self
 
     def _fit_words(self, texts: list[str]) -> None:
-        named = [[u for c in t.split() for u in units(c)] for t in texts]
-        counts = Counter(u for names in named for u in names)
+        counts = Counter(u for t in texts for c in t.split() for u in units(c))
         words = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: self.most_words]]
         self.words = {w: n for n, w in enumerate(words)}
         index = _index_vectors([*words, ""], self.width)
         gap = len(words)  # stands for units outside the vocabulary, and parts documents
         index[gap] = 0
         context = np.zeros((len(words) + 1, self.width), np.float32)
-        flat = np.array([self.words.get(u, gap) for names in named for u in [*names, *[""] * self.window]], np.int64)
+        parts = (self.words.get(u, gap) for t in texts for c in [*t.split(), None] for u in (units(c) if c else [""] * self.window))
+        flat = np.fromiter(parts, np.int64)  # names are made twice rather than kept
         for offset in range(1, self.window + 1):
             pair, n = np.unique(np.concatenate([flat[:-offset] * (gap + 1) + flat[offset:], flat[offset:] * (gap + 1) + flat[:-offset]]), return_counts=True)
-            for lo in range(0, len(pair), 200_000):
-                part, times = pair[lo : lo + 200_000], n[lo : lo + 200_000].astype(np.float32)
+            for lo in range(0, len(pair), 50_000):
+                part, times = pair[lo : lo + 50_000], n[lo : lo + 50_000].astype(np.float32)
                 owner, first = np.unique(part // (gap + 1), return_index=True)
                 context[owner] += np.add.reduceat(index[part % (gap + 1)] * times[:, None], first, axis=0)
         length = np.linalg.norm(context, axis=1, keepdims=True)
@@ -153,7 +153,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self._logits(self.pool(texts, table)) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most_rows: int = 4_000) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most_rows: int = 2_500) -> QualityModel:
     """Fit on about ``most_rows`` labelled texts whose id's CRC-32 leaves another remainder, drawn by a hash of the id."""
     chosen = labels.where(F.coalesce(id_crc("doc_id") % modulus != remainder, F.lit(False)) & F.col("quality").isNotNull())
     chosen = chosen.select("doc_id", "quality")
