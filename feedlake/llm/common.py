@@ -60,11 +60,16 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(old).alias(new) for new, old in columns.items()))
 
 
+_SEGMENT = 8_192
+_BLOCK = 65_536
+
+
 class WordTable:
     """Rows of numbers by word, made once per worker and summed over each text's words.
 
     ``make`` gives the rows of new words. The table starts afresh once it holds more than
-    ``most_rows`` words or ``most_chars`` characters, so its memory is bounded.
+    ``most_rows`` words or ``most_chars`` characters, so its memory is bounded; words are summed in
+    blocks, so texts of any length need no more.
     """
 
     def __init__(self, width: int, make: Callable[[list[str]], np.ndarray], most_rows: int = 800_000, most_chars: int = 16_000_000):
@@ -98,7 +103,12 @@ class WordTable:
         out = np.zeros((len(split), self.width))
         if sizes.sum():
             ids = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-            full = np.flatnonzero(sizes)
-            starts = (np.cumsum(sizes) - sizes)[full]
-            out[full] = np.add.reduceat(self.rows[ids], starts, axis=0, dtype=np.float64)
+            # segments start anew with each text, so a text's sum does not depend on its neighbours
+            each = -(-sizes // _SEGMENT)
+            owner = np.repeat(np.arange(len(split)), each)
+            first = np.repeat(np.cumsum(sizes) - sizes, each) + _SEGMENT * (np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each))
+            blocks = [0, *(np.flatnonzero(np.diff(first // _BLOCK)) + 1).tolist(), len(first)]
+            for a, b in zip(blocks, blocks[1:], strict=False):
+                lo, hi = first[a], first[b] if b < len(first) else len(ids)
+                np.add.at(out, owner[a:b], np.add.reduceat(self.rows[ids[lo:hi]], first[a:b] - lo, axis=0, dtype=np.float64))
         return out
