@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,11 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage is cut and the rows outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet in the shared folder and read back: lineage is cut and the rows outlive executors.
+
+    Shuffles of the write are deleted when it ends, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
     return out
 
@@ -39,12 +50,6 @@ def drop_durable(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries now, not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def id_crc(column: str) -> Column:
     """CRC-32 of an id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -4,7 +4,7 @@ A window is a string of ``length`` bytes. Its anchor is the least hash among the
 strings in it, so equal windows have equal anchors wherever they stand. Neighbouring windows
 mostly share one anchor, the leftmost if it repeats; such a run is one suffix of the sparse array, filed under its anchor and
 named by its content, the ``length`` + run - 1 bytes that it spans. Windows are equal only if
-their anchors are, so a merge scan by anchor meets every match.
+their anchors are, so a merge scan by anchor meets every match; a content has one anchor.
 
 Batches of documents enter as arrays of their own, and levels of one size merge into the next, so
 an entry is rewritten as often as the logarithm of the number of batches. An entry keeps how often
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable, sweep
+from .common import drop_durable, durable
 
 LENGTH = 200
 ANCHOR = 64
@@ -170,32 +170,29 @@ class SuffixIndex:
         for _, level in self.levels:
             drop_durable(level)
         self.levels = []
-        sweep(hits.sparkSession)
         alike = hits.where("same").select("doc_id", "mark", "start", "run", F.lit(None).cast("array<int>").alias("at"))
         mixed = hits.where("not same")
-        contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "start", "run")).alias("one"))
-        contents = durable(contents.select("anchor", "content", "times", "one.*"), "contents")
+        contents = mixed.groupBy("content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "mark", "start", "run")).alias("one"))
+        contents = durable(contents.select("content", "times", "one.*"), "contents")
         windows = durable(self._open(docs, contents), "windows")
-        sweep(hits.sparkSession)
-        twice = windows.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1").select(F.col("window").alias("shared"))
-        shared = windows.join(twice, F.col("window") == F.col("shared")).where("times = 1")
-        partly = shared.groupBy("anchor", "content").agg(F.sort_array(F.collect_list("offset")).alias("at"))
-        whole = contents.where("times > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("at"))
+        twice = durable(windows.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1").select(F.col("window").alias("shared")), "shared-windows")
+        shared = windows.where("times = 1").join(twice, F.col("window") == F.col("shared"))
+        partly = shared.groupBy("content").agg(F.sort_array(F.collect_list("offset")).alias("at"))
+        whole = contents.where("times > 1").select("content", F.lit(None).cast("array<int>").alias("at"))
         kept = durable(partly.union(whole), "covers")
-        drop_durable(windows)
-        drop_durable(contents)
-        sweep(hits.sparkSession)
-        covers = kept.select(F.col("anchor").alias("a"), F.col("content").alias("c"), "at")
-        opened = mixed.join(covers, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c"))).select("doc_id", "mark", "start", "run", "at")
+        for done in (windows, twice, contents):
+            drop_durable(done)
+        covers = kept.select(F.col("content").alias("c"), "at")
+        opened = mixed.join(covers, F.col("content") == F.col("c")).select("doc_id", "mark", "start", "run", "at")
         return alike.union(opened)
 
     def _open(self, docs: DataFrame, contents: DataFrame) -> DataFrame:
         """Hashes of every window of every content, from the text of the one run that stands for it."""
         length = self.length
-        lists = contents.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "content", "start", "run", "times")).alias("runs"))
+        lists = contents.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("content", "start", "run", F.least("times", F.lit(2)).alias("times"))).alias("runs"))
         told = lists.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "runs")
         met = docs.join(told, docs["doc_id"].eqNullSafe(told["d"]) & (docs["mark"] == told["m"])).select("text", "runs")
-        schema = "window long, anchor long, content long, offset int, times long"
+        schema = "window long, content long, offset int, times int"
 
         def run(batches):
             for batch in batches:
@@ -204,8 +201,8 @@ class SuffixIndex:
                     sizes = np.array([r["run"] for r in runs])
                     offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     starts = np.repeat(np.array([r["start"] for r in runs]), sizes) + offset
-                    rest = [np.repeat(np.array([r[c] for r in runs], np.int64), sizes) for c in ("anchor", "content", "times")]
-                    yield _table([hashed.at(starts, length).view(np.int64), rest[0], rest[1], offset, rest[2]], schema)
+                    content, times = (np.repeat(np.array([r[c] for r in runs], np.int64), sizes) for c in ("content", "times"))
+                    yield _table([hashed.at(starts, length).view(np.int64), content, offset, times], schema)
 
         opened = met.mapInArrow(run, schema)
         return opened
