@@ -65,6 +65,17 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(old).alias(new) for new, old in columns.items()))
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """What ``make`` gives for ``key``, kept by this worker until it needs another: one table at a time, over all operators."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 _SEGMENT = 8_192
 _BLOCK = 65_536
 
@@ -77,7 +88,7 @@ class WordTable:
     blocks, so texts of any length need no more.
     """
 
-    def __init__(self, width: int, make: Callable[[list[str]], np.ndarray], most_rows: int = 800_000, most_chars: int = 16_000_000):
+    def __init__(self, width: int, make: Callable[[list[str]], np.ndarray], most_rows: int = 500_000, most_chars: int = 16_000_000):
         self.width, self.make, self.most_rows, self.most_chars = width, make, most_rows, most_chars
         self._clear()
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, hash_unit, id_crc
+from .common import WordTable, hash_unit, held, id_crc
 
 UNDETERMINED = "und"
 SCHEMA = "lang_pred string, score double, cross_entropy double, rejected boolean, letters long"
@@ -237,17 +237,6 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, order: int = 5)
     return model
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
-def _table(model: KneserNey) -> WordTable:
-    """This worker's table of scored words for one model."""
-    if model.token not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.token] = model.table()
-    return _TABLES[model.token]
-
-
 def identify(docs: DataFrame, model: KneserNey, z_reject: float = 8.0) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score``, ``cross_entropy``, ``rejected`` and ``letters``.
 
@@ -267,7 +256,7 @@ def identify(docs: DataFrame, model: KneserNey, z_reject: float = 8.0) -> DataFr
             out = []
             for k in range(0, len(texts), 200):
                 part = texts[k : k + 200]
-                out += model.decide(model.score_texts(part, _table(model)), z_reject)
+                out += model.decide(model.score_texts(part, held(model.token, model.table)), z_reject)
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=batch.schema.names + own)

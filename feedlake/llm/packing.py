@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, held
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -35,7 +35,7 @@ class Tokens:
     apart. Texts where a space has white space on both sides are tokenised whole.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
@@ -100,9 +100,6 @@ def _ranked(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary, size
 
 
-_TOKENS: dict[str, Tokens] = {}
-
-
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: one if it fits, else full ones after a possibly shorter first."""
     if length <= capacity:
@@ -127,10 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches):
         import pyarrow as pa
 
-        if tokenizer not in _TOKENS:
-            _TOKENS.clear()
-            _TOKENS[tokenizer] = Tokens(tokenizer)
-        tokens, part = _TOKENS[tokenizer], TaskContext.get().partitionId()
+        tokens, part = held(tokenizer, lambda: Tokens(tokenizer)), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

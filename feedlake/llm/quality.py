@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, hash_unit, id_crc
+from .common import WordTable, hash_unit, held, id_crc
 
 _UNIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _NONZERO = 6
@@ -165,16 +165,6 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most_r
     return QualityModel().fit([r["text"] for r in rows], np.array([r["quality"] for r in rows]))
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
-def _table(model: QualityModel) -> WordTable:
-    if model.token not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.token] = model.table()
-    return _TABLES[model.token]
-
-
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; whole texts, one pass, no shuffle. A null text scores as an empty one."""
     base = docs.drop("score", "predicted")
@@ -186,7 +176,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         model = handle.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = np.concatenate([model.score(texts[k : k + 64], _table(model)) for k in range(0, len(texts), 64)] or [np.zeros(0)])
+            found = np.concatenate([model.score(texts[k : k + 64], held(model.token, model.table)) for k in range(0, len(texts), 64)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(found), pa.array(found >= 0.5).cast(pa.int32())], names=batch.schema.names + ["score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
@@ -197,5 +187,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from labelled ones outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), 3, 1)
-    held = F.coalesce(id_crc("doc_id") % 3 == 1, F.lit(False)).alias("held_out")
-    return score(docs.select("doc_id", held, "text"), model).select("doc_id", "held_out", "score", "predicted")
+    out = F.coalesce(id_crc("doc_id") % 3 == 1, F.lit(False)).alias("held_out")
+    return score(docs.select("doc_id", out, "text"), model).select("doc_id", "held_out", "score", "predicted")
