@@ -31,6 +31,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _BOUNDARY = 1
 
 
+def _pieces(text: str) -> list[str]:
+    """Runs of letters in a text; signs such as a raised two, which belong to words but are no letters, make no run alone."""
+    return [p for p in _LETTERS.findall(text) if p.isalpha() or any(map(str.isalpha, p))]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     return x * np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +86,7 @@ class KneserNey:
         languages = sorted(texts)
         per, alphabet = [], set()
         for language in languages:
-            words = Counter(w for t in texts[language] for w in _LETTERS.findall(t.lower()))
+            words = Counter(w for t in texts[language] for w in _pieces(t.lower()))
             names = sorted(words) or ["\u0001"]
             codes, starts = _codes(names)
             weights = np.repeat(np.array([words[w] or 1 for w in names], float), [len(w) + 2 for w in names])
@@ -156,7 +161,7 @@ class KneserNey:
 
     def _word_rows(self, words: list[str]) -> np.ndarray:
         """``word_scores`` of words as they stand in a text: only their letters count."""
-        pieces = [_LETTERS.findall(w) for w in words]
+        pieces = [_pieces(w) for w in words]
         out = np.zeros((len(words), len(self.languages) + 1))
         if flat := [p for ps in pieces for p in ps]:
             np.add.at(out, np.repeat(np.arange(len(words)), [len(p) for p in pieces]), self.word_scores(flat))
@@ -215,7 +220,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, order: int = 5)
     """Fit and calibrate on about ``per_language`` labelled texts of each language among the rows of ``learn``.
 
     The sample is drawn by a hash of text, so it does not depend on partitioning; its bound is
-    the parameter. A fourth of it calibrates, the rest is counted.
+    the parameter, and copies of a text count once, so that a large group of them can't exceed it.
+    A fourth of it calibrates, the rest is counted.
     """
     usable = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -225,7 +231,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, order: int = 5)
     for language, n in counts.items():
         share = F.when(F.col("lang") == language, F.lit(min(1.0, per_language / n))).otherwise(share)
     u = hash_unit("text", seed=11)
-    rows = usable.where(u < share).withColumn("part", hash_unit("text", seed=12)).collect()
+    rows = usable.where(u < share).dropDuplicates(["text", "lang"]).withColumn("part", hash_unit("text", seed=12)).collect()
     rows.sort(key=lambda r: (r["part"], r["lang"], r["text"]))
     count = {k: [r["text"] for r in rows if r["lang"] == k and r["part"] >= 0.25] for k in counts}
     short = [k for k, v in count.items() if not v]
