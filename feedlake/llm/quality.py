@@ -154,11 +154,15 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most_rows: int = 2_500) -> QualityModel:
-    """Fit on about ``most_rows`` labelled texts whose id's CRC-32 leaves another remainder, drawn by a hash of the id."""
+    """Fit on the first ``most_rows`` labelled texts, by a hash of the id, of those whose id's CRC-32 leaves another remainder.
+
+    The bound holds for any labels: it is a top-k of them, small enough to broadcast, so texts are filtered where they
+    lie. Repeated labels count once; of rows with one id and label, the least text does.
+    """
     chosen = labels.where(F.coalesce(id_crc("doc_id") % modulus != remainder, F.lit(False)) & F.col("quality").isNotNull())
-    chosen = chosen.select("doc_id", "quality")
-    share = most_rows / max(1, chosen.count())
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen.where(hash_unit("doc_id", seed=21) < min(1.0, share)), "doc_id").select("text", "quality").collect()
+    chosen = chosen.select("doc_id", "quality").distinct().orderBy(hash_unit("doc_id", seed=21), "doc_id", "quality").limit(most_rows)
+    labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = labelled.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality").collect()
     if not rows:
         raise ValueError("no labelled text to learn quality from")
     rows.sort(key=lambda r: (r["text"], r["quality"]))
