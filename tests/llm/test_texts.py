@@ -39,6 +39,16 @@ def test_language(spark):
     assert [found[k]["lang_pred"] for k in (1, 2, 3, 4, 5)] == ["en", "de", "und", "und", "und"]
     assert all(0 <= r["score"] <= 1 for r in found.values()) and found[3]["rejected"]
     assert langid.identify(docs.limit(0), model).count() == 0
+    assert model.decide(model.score_texts(["\u00b2 \u00bd 7"]), 8.0)[0][0] == "und"
+
+
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid.KneserNey, "fit", classmethod(lambda cls, texts, order: seen.update(texts) or seen))
+    docs = frame(spark, ["the same words"] * 300 + [prose(n, 5) for n in range(30)])
+    with pytest.raises(AttributeError):  # what stands in for the model can't be calibrated
+        langid.fit(docs, F.lit(True))
+    assert seen["en"].count("the same words") <= 1 and 1 <= len(seen["en"]) <= 31
 
 
 def test_kneser_ney_prefers_what_it_has_seen():
@@ -161,6 +171,20 @@ def test_quality():
     assert all(0 <= s <= 1 for s in model.score([None, "", " "]))
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.QualityModel, "fit", lambda self, texts, labels: seen.append((texts, labels.tolist())) or self)
+    docs = frame(spark, [f"text {n}" for n in range(60)] + [None]).union(spark.createDataFrame([(3, "a copy of an id", "en", None, None)] * 50, DOCS))
+    labels = spark.createDataFrame([(n, n % 2) for n in range(61)] + [(3, 1)] * 40 + [(None, 1), (5, None)], "doc_id long, quality int")
+    quality.fit(docs, labels, 3, 1, most_rows=20)
+    quality.fit(docs, labels, 3, 1)
+    (few, _), (texts, marks) = seen
+    assert 19 <= len(few) <= 20 and len(set(texts)) == len(texts) and texts == sorted(texts)
+    held = {n for n in range(61) if zlib.crc32(str(n).encode()) % 3 == 1}
+    want = {n for n in range(60) if n not in held}
+    assert len(texts) == len(want) and sum(marks) == sum(n % 2 for n in want)
+
+
 # -- fingerprints ---------------------------------------------------------------------------------
 
 
