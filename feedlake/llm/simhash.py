@@ -31,20 +31,23 @@ SEED = 42
 MOST_IN_SHARD = 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit SimHash of a whole text, as a signed number; zero without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the shingles of a whole text, one for each place; of all its words if they are fewer, none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that most of the hashes have, as a signed number."""
     totals = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]
@@ -53,6 +56,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64-bit SimHash of a whole text, as a signed number; zero without words."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without its text, with ``fp``; a null text counts as empty."""
     rest = [c for c in docs.columns if c not in ("text", "fp")]
@@ -173,19 +181,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     found = durable(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
     distinct = durable(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    stars = durable(components(durable(links(distinct, radius), "links")), "stars")
-    roots = stars.join(distinct, stars["node"] == distinct["fp"]).groupBy("root").agg(F.min("least").alias("component"))
+    return assign(found, distinct, links(distinct, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def assign(found: DataFrame, distinct: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """``found`` with ``component_id``: the ``least`` of all keys that ``edges`` join to a row's ``key``; ``distinct`` has one row a key."""
+    stars = durable(components(durable(edges, "links")), "stars")
+    roots = stars.join(distinct, stars["node"] == distinct[key]).groupBy("root").agg(F.min("least").alias("component"))
     joined = stars.join(roots, "root").select("node", "component")
-    by = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return found.join(durable(by, "component-of-fingerprint"), "fp").select("doc_id", "fp", "component_id")
+    by = distinct.join(joined, distinct[key] == joined["node"], "left").select(key, F.coalesce("component", "least").alias("component_id"))
+    return found.join(durable(by, "component-of-fingerprint"), key)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, find=near_duplicates, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: its least doc_id, and of rows with that id the first by the other columns.
 
-    A row with a null id stays: nothing tells it from other rows. Columns of ``docs`` are kept as they are.
+    ``find`` gives doc_id and ``component_id``. A row with a null id stays: nothing tells it from other
+    rows. Columns of ``docs`` are kept as they are.
     """
-    found = near_duplicates(docs, **options)
+    found = find(docs, **options)
     least = found.where("doc_id = component_id").select("doc_id").distinct()
     order = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
     kept = docs.join(least, "doc_id", "left_semi").withColumn("keep_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))

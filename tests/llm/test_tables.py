@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from feedlake.llm import ann, mixing
+from feedlake.llm import ann, mixing, simhash, similar
 
 
 def test_nearest(spark):
@@ -71,3 +71,33 @@ def test_pipeline(spark, tmp_path):
     assert 80 not in kept and kept >= set(range(80))
     assert all("a@b.co" not in r["text"] for r in seen["personal_data"].collect())
     assert seen["pack_sequences"].select("doc_id").distinct().count() == seen["mix_sources"].select("doc_id").distinct().count()
+
+
+def test_pipeline_drops_near_copies(spark):
+    rng = np.random.default_rng(8)
+    rows, kept = [], set()
+    for n, edits in enumerate([1, 2, 3, 4, 1, 2, 3, 4, 9, 9]):  # each edit in mid-text changes 5 of 196 shingles
+        words = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        copy = list(words)
+        for k in range(edits):
+            copy[10 + 18 * k] = f"edit{n}x{k}"
+        alike = (196 - 5 * edits) / (196 + 5 * edits)
+        assert edits == 9 and alike < 0.8 or 0.8 <= alike < 0.96
+        rows += [(2 * n, " ".join(words), "en", "s", 0), (2 * n + 1, " ".join(copy), "en", "s", 0)]
+        kept |= {2 * n} | ({2 * n + 1} if edits == 9 else set())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept
+
+
+def test_similar_texts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similar, "MOST_IN_UNIT", 8)  # so that groups are dealt in chunks
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = [None, "", "one", "One", base]
+    for _ in range(60):
+        texts.append([f"x{rng.integers(999)}" if rng.random() < 0.02 else w for w in base])
+    texts = [" ".join(t) if isinstance(t, list) else t for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [similar.shingle_set(t) for t in texts]
+    label = simhash._forest(len(texts), *np.nonzero([[similar.jaccard(a, b) >= 0.8 for b in sets] for a in sets]))
+    assert {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()} == dict(enumerate(label.tolist()))
