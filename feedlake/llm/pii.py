@@ -4,7 +4,8 @@ A base identifier stands in a text as it is. A disguised one appears only after
 homoglyphs and digits of other scripts become ASCII, zero-width characters vanish, ``[at]`` and
 ``(dot)`` become their signs, spelled digits become digits. A ``Rewrite`` keeps, for each piece it
 wrote, the source span the piece came from, so a span found in rewritten text maps back to source
-code points. Disguised spans are added where they touch no base span.
+code points. A disguised span is added wherever its source range is no base span's, also where it
+reaches further than a base span that saw only a part of the identifier.
 """
 
 from __future__ import annotations
@@ -58,12 +59,16 @@ _ODD = re.compile(f"[{_INVISIBLE}{''.join(_DOTS)}{''.join(_LOOKALIKES)}٠-٩۰-
 _BRACKETED = re.compile(rf"[\[({{<]\s{{0,3}}(?:{'|'.join((*_AT_WORDS, *_DOT_WORDS, '@', chr(92) + '.'))})\s{{0,3}}[\])}}>]", re.IGNORECASE)
 _AT_SIGN = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(_AT_WORDS)}|@)\s{{0,3}}[\])}}>]\s{{0,3}}", re.IGNORECASE)
 _DOT_SIGN = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(_DOT_WORDS)}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.IGNORECASE)
+_SAID_DOT = rf"\s{{1,3}}(?:{'|'.join(_DOT_WORDS)})\s{{1,3}}"
+_SAID_AT = rf"(?:\s{{1,3}}(?:{'|'.join(_AT_WORDS)})\s{{1,3}}|@)"
+_NAME = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}"
+_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:(?:{_SAID_DOT}|\.)[A-Za-z0-9-]{{1,63}})*?"
+# A dot is spoken in the local part, which holds 31 dots at most, or else before the ending.
 _SPOKEN_MAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}(\s{{1,3}}(?:{'|'.join(_AT_WORDS)})\s{{1,3}}|@)[A-Za-z0-9-]{{1,63}}(?:(?:\s{{1,3}}(?:{'|'.join(_DOT_WORDS)})\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}})*?(?:\s{{1,3}}(?:{'|'.join(_DOT_WORDS)})\s{{1,3}})([A-Za-z]{{2,10}})(?![A-Za-z0-9-])",
+    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:{_SAID_DOT}{_NAME}){{1,31}}{_SAID_AT}{_HOST}(?:{_SAID_DOT}|\.)|{_SAID_AT}{_HOST}{_SAID_DOT})([A-Za-z]{{2,10}})(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
 _WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_SPELLED_PAIR = re.compile(rf"(?:{_WORDS})[ ,.-]{{1,2}}(?:{_WORDS})(?!\w)")
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s{{1,2}})?(?:{_WORDS}|[0-9]|{'|'.join(_DOT_WORDS)})(?:[ ,.-]{{1,2}}(?:{_WORDS}|[0-9]|{'|'.join(_DOT_WORDS)})){{6,}})(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(plus)\s*|({'|'.join(_DOT_WORDS)})|({_WORDS})|([0-9])|[ ,.-]+", re.IGNORECASE)
 
@@ -173,45 +178,44 @@ def signs(text: str) -> Rewrite:
     return Rewrite(text, _merged(edits))
 
 
-def spelled(text: str) -> Rewrite:
-    """Runs of seven or more spelled digits, with words for dot and plus, rewritten."""
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def spelled(text: str) -> Rewrite | None:
+    """Runs of seven or more spelled digits, with words for dot and plus, rewritten; none if there is no run."""
     edits = []
     for run in _SPELLED_RUN.finditer(text):
+        if not _LETTER.search(run.group()):
+            continue  # digits as they are
         for m in _SPELLED_PART.finditer(text, *run.span()):
             plus, dot, word, digit = m.groups()
             edits.append((m.start(), m.end(), "+" if plus else "." if dot else _DIGIT_WORDS[word.lower()] if word else digit or ""))
-    return Rewrite(text, edits)
+    return Rewrite(text, edits) if edits else None
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that only a rewriting shows, where they touch no base span."""
-    low = text.lower()
+    """Identifiers that only a rewriting shows in their full range, which is no base span's."""
     odd = not text.isascii() and _ODD.search(text) is not None
     bracketed = _BRACKETED.search(text) is not None
-    spoken = any(w in low for w in _DOT_WORDS)
-    digits = _SPELLED_PAIR.search(low) is not None
-    if not (odd or bracketed or spoken or digits):
-        return []
+    first = signs(text) if odd or bracketed else Rewrite(text, [])
+    low = first.text.lower()
     found: list[Span] = []
-    taken = [(a, b) for _, a, b in base]
+    plain = {(a, b) for _, a, b in base}
 
     def add(kind: str, a: int, b: int) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        if (a, b) not in plain and not any(x <= a and b <= y for _, x, y in found):
             found.append((kind, a, b))
 
-    first = signs(text) if odd or bracketed else Rewrite(text, [])
     if odd or bracketed:
         for kind, a, b in base_spans(first.text):
             lo, hi, changed = first.origin(a, b)
             if changed:
                 add(kind, lo, hi)
-    if spoken:
+    if any(w in low for w in _DOT_WORDS):
         for m in _SPOKEN_MAIL.finditer(first.text):
-            if m.group(2).lower() in _ENDINGS:
+            if m.group(1).lower() in _ENDINGS:
                 add("email", *first.origin(*m.span())[:2])
-    if digits:
-        second = spelled(first.text)
+    if second := spelled(first.text):
         for kind, a, b in base_spans(second.text):
             lo, hi, changed = second.origin(a, b)
             if changed:

@@ -100,6 +100,25 @@ def test_disguises(text, kind, span):
     assert got and (span is None or span in got)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span", "base"),
+    [
+        ("mаry@example.com", "email", "mаry@example.com", "ry@example.com"),
+        ("to anna.sсhmidt@example.com now", "email", "anna.sсhmidt@example.com", "hmidt@example.com"),
+        ("at 10.20.30.4２ here", "ip", "10.20.30.4２", "10.20.30.4"),
+        ("x@mail.exаmple.com", "email", "x@mail.exаmple.com", "x@mail.ex"),
+        ("mail jane dot doe at example dot org now", "email", "jane dot doe at example dot org", None),
+        ("mail jane dot doe@example.org now", "email", "jane dot doe@example.org", "doe@example.org"),
+        ("call PLUS 4 nine 1 five 1 two 3 four 5 six 7 eight", "phone", "PLUS 4 nine 1 five 1 two 3 four 5 six 7 eight", None),
+    ],
+)
+def test_disguises_in_full(text, kind, span, base):
+    found, spans = pii.all_spans(text)
+    assert [text[a:b] for _, a, b in found] == ([base] if base else [])
+    assert (kind, text.index(span), text.index(span) + len(span)) in spans and set(found) <= set(spans)
+    assert pii.redact(text, spans) == text.replace(span, f"<{kind.upper()}>")
+
+
 def test_clean_texts_and_redaction(spark):
     assert pii.all_spans("Look at that dot matrix; one two three four. They sat at noon.") == ([], [])
     found = pii.find(frame(spark, ["a@b.co and 1.2.3.4", None, ""]), redacted=True).orderBy("doc_id").collect()
