@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions alone.
 
-A text's paragraphs are its lines, cut further after some sentence ends so that a text of one line
-has several; where to cut depends on the neighbouring characters alone, so an edit moves no other
-cut. Each distinct paragraph's 64-bit digest enters one cell in each third of the sketch. A cell
+A text's paragraphs are its lines, cut after every sentence end of any script; what is still long is
+cut after words, and a long word after pairs of characters, that a hash chooses. Where to cut depends on
+the sentence at hand alone, so an edit moves no cut of another. Each distinct paragraph's 64-bit digest enters one cell in each third of the sketch. A cell
 keeps a count, the digests' exclusive or, and their checks' exclusive or.
 
 Sketches are linear. Subtracting one version's from another's leaves the digests in which they
@@ -36,9 +36,35 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Sentence marks that a space follows, and those that end a sentence without one.
+_MARKS = ".!?…‼⁇⁈⁉‽⸮؟۔܀܁܂։՜՞।॥۔።፧፨።၊။។៕᠃᠉᙮᥄᥅߹꓿꘎꘏꛳꛷꤯꧈꧉꩝꩞꩟꯫༎༏"
+_TIGHT = "。！？．｡།"
+_CLOSERS = "\"'”’»›)\\]」』）】》"
+_ENDS = rf"\n+|(?<=[{_MARKS}{_TIGHT}][{_CLOSERS}]{{0,3}})\s+|(?<=[{_TIGHT}][{_CLOSERS}]{{0,3}})(?![\s{_CLOSERS}{_TIGHT}{_MARKS}])"
+LONG, LONG_WORD = 160, 32
+
+
+def _chosen(key: Column, one_in: int) -> Column:
+    return F.pmod(key, F.lit(one_in)) == 0
+
+
+def _cut_word(word: Column) -> Column:
+    """A word with a line end after each pair of characters that its hash chooses, about one in 16."""
+    return _let(F.split(word, ""), lambda chars: F.array_join(F.transform(chars, lambda c, i: F.when(_chosen(F.xxhash64(F.get(chars, i - 1), c), 16), F.concat(c, F.lit("\n"))).otherwise(c)), ""))
+
+
+def _cut_long(part: Column) -> Column:
+    """Pieces of a long part: cut after each word that its hash chooses, about one in eight, and within long words."""
+
+    def word(w: Column) -> Column:
+        return F.when(F.char_length(w) > LONG_WORD, _cut_word(w)).when(_chosen(F.xxhash64(w), 8), F.concat(w, F.lit("\n"))).otherwise(w)
+
+    return F.split(F.array_join(F.transform(F.split(part, r"\s+"), word), " "), r"\n\s*")
+
+
 def digests(text: Column) -> Column:
     """Distinct digests of a text's paragraphs; none for a blank text."""
-    parts = F.split(text, r"\n+|(?<=[aeiou][.!?])\s+")
+    parts = F.flatten(F.transform(F.split(text, _ENDS), lambda p: F.when(F.char_length(p) > LONG, _cut_long(p)).otherwise(F.array(p))))
     return F.array_distinct(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(F.trim(p))))
 
 

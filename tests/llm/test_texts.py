@@ -220,6 +220,17 @@ def test_fingerprints(spark):
     assert [follow[k] for k in range(len(texts))] == texts[1:] + texts[:1]
 
 
+def test_paragraphs_of_one_line(spark):
+    said = [prose(n, 8) for n in range(12)]
+    words = prose(40, 300)
+    many = "".join(chr(0x4E00 + int(n)) for n in np.random.default_rng(41).integers(0, 3000, 400))
+    whole = [s.join(said) for s in ("s. ", "é! ", "9? ", "。", "؟ ", "। ", '."  ')] + [words, many]
+    rows = spark.createDataFrame([(n, t, t[: 2 * len(t) // 3] + "q" * 9) for n, t in enumerate(whole)], "n int, a string, b string")
+    for r in rows.select("n", iblt.digests(F.col("a")).alias("a"), iblt.digests(F.col("b")).alias("b")).collect():
+        assert len(r["a"]) == 12 if r["n"] < 7 else len(r["a"]) >= 10
+        assert len(set(r["b"]) - set(r["a"])) <= 2 and len(set(r["a"]) & set(r["b"])) >= 5
+
+
 # -- suffixes -------------------------------------------------------------------------------------
 
 
