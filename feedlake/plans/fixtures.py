@@ -72,7 +72,7 @@ def _describe(spark: SparkSession, sf_dir: str, name: str, root: str) -> tuple[S
 def store(spark: SparkSession, sf_dir: str, name: str, batches: int = BATCHES, sequenced: int | None = -1) -> Store:
     """A fixture store: ``ev``, ``or``, ``or_raw`` or ``li``, optionally with a suffix for a copy of its own.
 
-    Batches are written one after another, an hour apart; then ``sequenced`` files are given offsets, all if negative.
+    Batches are written one after another, an hour apart, and after all of them rows with a null key, if there are any; then ``sequenced`` files are given offsets, all if negative.
     """
     config, rows, key, order = _describe(spark, sf_dir, name, f"{_folder(spark, sf_dir)}/{name}-{batches}")
     out = Store(spark, config)
@@ -81,6 +81,9 @@ def store(spark: SparkSession, sf_dir: str, name: str, batches: int = BATCHES, s
         config.clock.now = EPOCH + timedelta(hours=b)
         metadata = {"job_id": f"job-{b}", "attempt": b} if config.extensions else None
         out.write(rows.where(key % BATCHES == b), metadata=metadata, order_by=[F.col(order)])
+    if batches == BATCHES and not rows.where(key.isNull()).isEmpty():
+        config.clock.now = EPOCH + timedelta(hours=batches)
+        out.write(rows.where(key.isNull()), metadata={"job_id": f"job-{batches}", "attempt": batches} if config.extensions else None, order_by=[F.col(order)])
     if sequenced is not None:
         if sequenced < 0:
             out.drain(10_000, SEQUENCED)
