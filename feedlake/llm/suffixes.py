@@ -1,4 +1,7 @@
-"""Exact substring deduplication by a logarithmic family of sparse suffix arrays.
+"""Exact substring deduplication by a logarithmic family of counts by minimiser, which replace sorted suffix arrays.
+
+No suffix is sorted or stored; a "sparse array" below is the table of runs under their anchors, and
+the merge scan groups and joins by anchor once all batches are in.
 
 A window is a string of ``length`` bytes. Its anchor is the least hash among the ``ANCHOR``-byte
 strings in it, so equal windows have equal anchors wherever they stand. Neighbouring windows
