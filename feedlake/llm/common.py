@@ -1,15 +1,17 @@
-"""Helpers shared by the training-data operators: durable intermediates, sampling and text splitting."""
+"""Helpers shared by the training-data operators: durable intermediates, columns that pass through, sampling and text splitting."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +41,33 @@ def durable(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
+    for made in _SCOPES[-1:]:
+        made.append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def cleared():
+    """Delete, at the end, what ``durable`` wrote inside, but for what ``keep`` (the function given) was told to keep.
+
+    Results outlive the block only if they read kept tables alone. Tables go too when the block fails.
+    """
+    _SCOPES.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept.append
+    finally:
+        made = _SCOPES.pop()
+        for df in made:
+            if all(df is not k for k in kept):
+                drop_durable(df)
+        for outer in _SCOPES[-1:]:
+            outer.extend(k for k in kept if hasattr(k, "durable_path"))
+
+
 def drop_durable(df: DataFrame) -> None:
     """Delete what ``durable`` wrote for ``df``, once nothing reads it any more."""
     path = df.durable_path
@@ -60,9 +86,61 @@ def hash_unit(*columns: str, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)) / F.lit(float(1 << 53))
 
 
-def only(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns of ``df`` under new names; other columns, clashing names included, stay out of an operator."""
-    return df.select(*(F.col(old).alias(new) for new, old in columns.items()))
+def named(column: str) -> Column:
+    """A top-level column by its whole name, dots and backticks included."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def fields_of(ddl: str) -> list[T.StructField]:
+    """Fields of a schema written as ``name type, name type``."""
+    return T.StructType.fromDDL(ddl).fields
+
+
+def folded(df: DataFrame, *own: str) -> DataFrame:
+    """``df`` with one struct ``row`` of its columns under numbers, but for those named ``own``: no name inside can clash."""
+    rest = [f.name for f in df.schema.fields if f.name not in own]
+    return df.select(F.struct(*(named(c).alias(f"c{n}") for n, c in enumerate(rest)), F.lit(True).alias("told")).alias("row"))
+
+
+def unfolded(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns that ``folded`` put in ``row``, by their names again."""
+    return [F.col("row")[f"c{n}"].alias(c) for n, c in enumerate(columns)]
+
+
+def map_rows(docs: DataFrame, inputs: Sequence[str], outputs: str, make: Callable[..., Iterator | Sequence], drop: Sequence[str] = ()) -> DataFrame:
+    """``docs`` with new columns ``outputs`` (a schema as text), from Arrow batches of the ``inputs``, in one pass.
+
+    ``make`` gets the batches' input columns as lists and returns one list for each output, or an index of
+    source rows and then the lists, if a row becomes several or none (its first output is then named
+    ``_from``). Columns of ``docs`` may have any names and types; those named like an output, or in
+    ``drop``, are left out.
+    """
+    new = fields_of(outputs)
+    several = new[0].name == "_from"
+    made = [f for f in new if f.name != "_from"]
+    out_names = {f.name.lower() for f in made} | {c.lower() for c in drop}
+    rest = [f.name for f in docs.schema.fields if f.name.lower() not in out_names]
+    row = F.struct(*(named(c).alias(f"c{n}") for n, c in enumerate(rest)), F.lit(True).alias("told"))
+    extra = [c for c in inputs if c not in rest]  # read, though they do not pass through
+    packed = docs.select(row.alias("row"), *(named(c).alias(f"in{n}") for n, c in enumerate(extra)))
+    schema = T.StructType([packed.schema["row"], *(T.StructField(f"out{n}", f.dataType) for n, f in enumerate(made))])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in made]
+        for batch in batches:
+            rows = batch.column(0)
+            lists = [(batch.column(1 + extra.index(c)) if c in extra else rows.field(rest.index(c))).to_pylist() for c in inputs]
+            found = list(make(*lists))
+            if several:
+                rows, found = rows.take(pa.array(found[0], pa.int64())), found[1:]
+            arrays = [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows, *arrays], names=["row", *(f"out{n}" for n in range(len(made)))])
+
+    out = packed.mapInArrow(run, schema)
+    return out.select(*(F.col("row")[f"c{n}"].alias(c) for n, c in enumerate(rest)), *(F.col(f"out{n}").alias(f.name) for n, f in enumerate(made)))
 
 
 _HELD: dict[object, object] = {}

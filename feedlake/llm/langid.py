@@ -23,17 +23,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, hash_unit, held, id_crc
+from .common import WordTable, drop_durable, durable, hash_unit, held, id_crc, map_rows
 
 UNDETERMINED = "und"
+BROADCAST_LANGUAGES = 10_000
 SCHEMA = "lang_pred string, score double, cross_entropy double, rejected boolean, letters long"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BOUNDARY = 1
+_LONGEST = 4096  # a longer run of letters is scored in pieces of this length, so that memory is bounded
 
 
 def _pieces(text: str) -> list[str]:
     """Runs of letters in a text; signs such as a raised two, which belong to words but are no letters, make no run alone."""
-    return [p for p in _LETTERS.findall(text) if p.isalpha() or any(map(str.isalpha, p))]
+    found = [p for p in _LETTERS.findall(text) if p.isalpha() or any(map(str.isalpha, p))]
+    return [p[k : k + _LONGEST] for p in found for k in range(0, len(p), _LONGEST)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,6 +87,8 @@ class KneserNey:
     def fit(cls, texts: dict[str, list[str]], order: int = 5, discount: float = 0.75) -> KneserNey:
         """Count and estimate on ``texts``, lists of texts by language."""
         languages = sorted(texts)
+        if not languages:
+            return cls([], order, [], [], [], np.zeros(0))
         per, alphabet = [], set()
         for language in languages:
             words = Counter(w for t in texts[language] for w in _pieces(t.lower()))
@@ -163,15 +168,20 @@ class KneserNey:
         """``word_scores`` of words as they stand in a text: only their letters count."""
         pieces = [_pieces(w) for w in words]
         out = np.zeros((len(words), len(self.languages) + 1))
-        if flat := [p for ps in pieces for p in ps]:
-            np.add.at(out, np.repeat(np.arange(len(words)), [len(p) for p in pieces]), self.word_scores(flat))
+        flat, owner = [p for ps in pieces for p in ps], np.repeat(np.arange(len(words)), [len(p) for p in pieces])
+        room = np.cumsum([len(p) for p in flat]) // (64 * _LONGEST) if flat else np.zeros(0, int)
+        for k in np.unique(room):  # a bounded number of characters at a time
+            lo, hi = np.searchsorted(room, [k, k + 1])
+            np.add.at(out, owner[lo:hi], self.word_scores(flat[lo:hi]))
         return out
 
     def table(self) -> WordTable:
         return WordTable(len(self.languages) + 1, self._word_rows)
 
     def score_texts(self, texts: list[str | None], table: WordTable | None = None) -> np.ndarray:
-        """For each whole text, its cross-entropy by language and, last, the characters behind it."""
+        """For each whole text, its cross-entropy by language and, last, the characters behind it: none where no language is known."""
+        if not self.languages:
+            return np.zeros((len(texts), 1))
         out = (table or self.table()).sums([(t or "").lower().split() for t in texts])
         with np.errstate(invalid="ignore", divide="ignore"):
             out[:, :-1] = -out[:, :-1] / out[:, -1:]
@@ -179,6 +189,8 @@ class KneserNey:
 
     def calibrate(self, texts: list[str], truth: list[str]) -> None:
         """Fit the posterior's temperature and each language's usual cross-entropy on labelled texts."""
+        if not self.languages:
+            return
         scored = self.score_texts(texts)
         keep = scored[:, -1] > 0
         entropy, size = scored[keep, :-1], scored[keep, -1]
@@ -221,19 +233,19 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, order: int = 5)
 
     The sample is drawn by a hash of text, so it does not depend on partitioning; its bound is
     the parameter, and copies of a text count once, so that a large group of them can't exceed it.
-    A fourth of it calibrates, the rest is counted.
+    A fourth of it calibrates, the rest is counted. Languages' numbers of texts stay in a table that is
+    joined to the texts; what comes to the driver is the sample. Without any labelled text the model
+    knows no language and rejects every text.
     """
     usable = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        raise ValueError("no labelled text to learn a language from")
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col("lang") == language, F.lit(min(1.0, per_language / n))).otherwise(share)
-    u = hash_unit("text", seed=11)
-    rows = usable.where(u < share).dropDuplicates(["text", "lang"]).withColumn("part", hash_unit("text", seed=12)).collect()
+    shares = durable(usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share")), "language-shares")
+    shares_here = F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares
+    likely = usable.withColumn("u", hash_unit("text", seed=11)).join(shares_here, "lang").where("u < share").select("text", "lang")
+    rows = likely.dropDuplicates(["text", "lang"]).withColumn("part", hash_unit("text", seed=12)).collect()
     rows.sort(key=lambda r: (r["part"], r["lang"], r["text"]))
-    count = {k: [r["text"] for r in rows if r["lang"] == k and r["part"] >= 0.25] for k in counts}
+    drop_durable(shares)
+    languages = sorted({r["lang"] for r in rows})
+    count = {k: [r["text"] for r in rows if r["lang"] == k and r["part"] >= 0.25] for k in languages}
     short = [k for k, v in count.items() if not v]
     for k in short:
         count[k] = [r["text"] for r in rows if r["lang"] == k]
@@ -246,29 +258,20 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, order: int = 5)
 def identify(docs: DataFrame, model: KneserNey, z_reject: float = 8.0) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score``, ``cross_entropy``, ``rejected`` and ``letters``.
 
-    Whole texts are scored, in one pass without a shuffle. Null, empty and letterless texts get
-    ``und``, score 0 and are rejected. Columns of ``docs`` by those names are replaced.
+    Whole texts of any length are scored, in one pass without a shuffle. Null, empty and letterless texts
+    get ``und``, score 0 and are rejected, and so is every text where the model knows no language. Of
+    languages with equal cross-entropy the first by name wins. Repeated rows get equal results, an
+    empty table none. Columns of ``docs`` by those names are replaced; all others pass through as they are.
     """
-    own = [c.split()[0] for c in SCHEMA.split(", ")]
-    base = docs.drop(*own)
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        import pyarrow as pa
-
-        model = handle.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            out = []
-            for k in range(0, len(texts), 200):
-                part = texts[k : k + 200]
-                out += model.decide(model.score_texts(part, held(model.token, model.table)), z_reject)
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=batch.schema.names + own)
-
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, {SCHEMA}")
+    def make(texts):
+        model, out = handle.value, []
+        for k in range(0, len(texts), 200):
+            out += model.decide(model.score_texts(texts[k : k + 200], held(model.token, model.table)), z_reject)
+        return list(zip(*out, strict=True)) or [()] * 5
+
+    return map_rows(docs, ["text"], SCHEMA, make)
 
 
 def learnable(docs: DataFrame, modulus: int, remainder: int) -> Column:

@@ -1,11 +1,16 @@
 """Personal data in texts: plain identifiers, and disguised ones found through offset-keeping transducers.
 
-A base identifier stands in a text as it is. A disguised one appears only after rewriting:
-homoglyphs and digits of other scripts become ASCII, zero-width characters vanish, ``[at]`` and
-``(dot)`` become their signs, spelled digits become digits. A ``Rewrite`` keeps, for each piece it
-wrote, the source span the piece came from, so a span found in rewritten text maps back to source
-code points. A disguised span is added wherever its source range is no base span's, also where it
-reaches further than a base span that saw only a part of the identifier.
+A base identifier stands in a text as it is. A disguised one appears only after rewriting, by a chain of
+transducers of which each reads what the one before wrote: homoglyphs and digits of other scripts become
+ASCII and invisible characters vanish; bracketed at and dot become their signs; spoken at and dot do
+within what reads as an address; runs of spelled digits become digits. A ``Rewrite`` keeps, for each
+piece it wrote, the source span the piece came from, and a ``Chain`` of them maps a span found in any
+step's text back to source code points. Detection runs on every step's text. A disguised span is added
+wherever its source range is no base span's, also where it reaches further than a base span that saw
+only a part of the identifier.
+
+A single spoken dot after a single plain word ("met at noon dot com") is an address only behind a word
+that announces one; see ``_announced``.
 """
 
 from __future__ import annotations
@@ -14,11 +19,13 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 KINDS = ("email", "ip", "card", "phone")
 _ORDER = {k: n for n, k in enumerate(KINDS)}
 Span = tuple[str, int, int]
@@ -56,20 +63,23 @@ _AT_WORDS = ("at", "arroba")
 _ENDINGS = frozenset("com org net edu gov mil int info biz io ai app dev me tv co uk us de fr es it nl eu ch at be se no pl ru cn jp in br mx example test invalid".split())
 
 _ODD = re.compile(f"[{_INVISIBLE}{''.join(_DOTS)}{''.join(_LOOKALIKES)}٠-٩۰-۹०-९！-～﹒﹫₀-₉⁰¹²³⁴-⁹]")
-_BRACKETED = re.compile(rf"[\[({{<]\s{{0,3}}(?:{'|'.join((*_AT_WORDS, *_DOT_WORDS, '@', chr(92) + '.'))})\s{{0,3}}[\])}}>]", re.IGNORECASE)
 _AT_SIGN = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(_AT_WORDS)}|@)\s{{0,3}}[\])}}>]\s{{0,3}}", re.IGNORECASE)
 _DOT_SIGN = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(_DOT_WORDS)}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.IGNORECASE)
+_BRACKET = re.compile(r"[\[({<]")
 _SAID_DOT = rf"\s{{1,3}}(?:{'|'.join(_DOT_WORDS)})\s{{1,3}}"
-_SAID_AT = rf"(?:\s{{1,3}}(?:{'|'.join(_AT_WORDS)})\s{{1,3}}|@)"
+_SAID_AT = rf"\s{{1,3}}(?:{'|'.join(_AT_WORDS)})\s{{1,3}}"
 _NAME = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}"
-_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:(?:{_SAID_DOT}|\.)[A-Za-z0-9-]{{1,63}})*?"
-# A dot is spoken in the local part, which holds 31 dots at most, or else before the ending.
+_LABEL = r"[A-Za-z0-9-]{1,63}"
+# A local part holds 31 dots at most and a host 15.
 _SPOKEN_MAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:{_SAID_DOT}{_NAME}){{1,31}}{_SAID_AT}{_HOST}(?:{_SAID_DOT}|\.)|{_SAID_AT}{_HOST}{_SAID_DOT})([A-Za-z]{{2,10}})(?![A-Za-z0-9-])",
+    rf"(?<![A-Za-z0-9._%+-])(?P<local>{_NAME}(?:{_SAID_DOT}{_NAME}){{0,31}})(?P<at>{_SAID_AT}|@)(?P<host>{_LABEL}(?:(?:{_SAID_DOT}|\.){_LABEL}){{0,15}})(?:{_SAID_DOT}|\.)(?:{'|'.join(sorted(_ENDINGS))})(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
+_SAID = re.compile(rf"(?P<dot>{_SAID_DOT})|{_SAID_AT}", re.IGNORECASE)
+# Words that announce an address.
+_CUES = ("mail", "email", "e-mail", "contact", "write", "reach", "address", "ping", "reply", "kontakt", "adresse", "courriel", "correo", "schreib", "écri", "escrib")
 _WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s{{1,2}})?(?:{_WORDS}|[0-9]|{'|'.join(_DOT_WORDS)})(?:[ ,.-]{{1,2}}(?:{_WORDS}|[0-9]|{'|'.join(_DOT_WORDS)})){{6,}})(?!\w)", re.IGNORECASE)
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s{{1,2}})?(?:{_WORDS}|[0-9]|{'|'.join(_DOT_WORDS)})(?:[ ,.-]{{1,3}}(?:{_WORDS}|[0-9]|{'|'.join(_DOT_WORDS)})){{6,}})(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(plus)\s*|({'|'.join(_DOT_WORDS)})|({_WORDS})|([0-9])|[ ,.-]+", re.IGNORECASE)
 
 
@@ -171,18 +181,60 @@ def _merged(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def signs(text: str) -> Rewrite:
-    """Homoglyphs, foreign digits, invisible characters and bracketed at and dot, rewritten."""
-    edits = [(m.start(), m.end(), "@") for m in _AT_SIGN.finditer(text)] + [(m.start(), m.end(), ".") for m in _DOT_SIGN.finditer(text)]
-    edits += [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain_sign(m.group())) != m.group()]
-    return Rewrite(text, _merged(edits))
+class Chain:
+    """Transducers one after another; ``origin`` maps positions of the last text through all of them."""
+
+    def __init__(self, source: str):
+        self.text, self.steps = source, []
+
+    def then(self, edits: list[tuple[int, int, str]]) -> bool:
+        """Rewrite the present text; whether there was anything to rewrite."""
+        if edits:
+            self.steps.append(Rewrite(self.text, _merged(edits)))
+            self.text = self.steps[-1].text
+        return bool(edits)
+
+    def origin(self, start: int, end: int) -> tuple[int, int, bool]:
+        """Source span of positions ``start`` to ``end`` of the present text, and whether any step rewrote something in it."""
+        changed = False
+        for step in reversed(self.steps):
+            start, end, here = step.origin(start, end)
+            changed |= here
+        return start, end, changed
+
+
+def signs(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make homoglyphs and foreign digits ASCII and drop invisible characters."""
+    return [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain_sign(m.group())) != m.group()]
+
+
+def bracketed(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make bracketed at and dot their signs."""
+    return [(m.start(), m.end(), "@") for m in _AT_SIGN.finditer(text)] + [(m.start(), m.end(), ".") for m in _DOT_SIGN.finditer(text)]
+
+
+def _announced(text: str, m: re.Match) -> bool:
+    """Whether what reads as a spoken address is one: by a sign or a dot or digit in its local part, two dots in its host, or a word before it."""
+    if m["at"] == "@" or re.search(r"[0-9._%+-]|\s", m["local"]) or re.search(r"\s|\.", m["host"]):
+        return True
+    before = text[max(0, m.start() - 40) : m.start()].lower()
+    return any(c in before or m["local"].lower() == c for c in _CUES)
+
+
+def spoken(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make spoken at and dot signs within addresses."""
+    out = []
+    for m in _SPOKEN_MAIL.finditer(text):
+        if _announced(text, m):
+            out += [(s.start(), s.end(), "." if s["dot"] else "@") for s in _SAID.finditer(text, *m.span())]
+    return out
 
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def spelled(text: str) -> Rewrite | None:
-    """Runs of seven or more spelled digits, with words for dot and plus, rewritten; none if there is no run."""
+def spelled(text: str) -> list[tuple[int, int, str]]:
+    """Edits that make runs of seven or more spelled digits, with words for dot and plus, digits."""
     edits = []
     for run in _SPELLED_RUN.finditer(text):
         if not _LETTER.search(run.group()):
@@ -190,36 +242,31 @@ def spelled(text: str) -> Rewrite | None:
         for m in _SPELLED_PART.finditer(text, *run.span()):
             plus, dot, word, digit = m.groups()
             edits.append((m.start(), m.end(), "+" if plus else "." if dot else _DIGIT_WORDS[word.lower()] if word else digit or ""))
-    return Rewrite(text, edits) if edits else None
+    return edits
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only a rewriting shows in their full range, which is no base span's."""
-    odd = not text.isascii() and _ODD.search(text) is not None
-    bracketed = _BRACKETED.search(text) is not None
-    first = signs(text) if odd or bracketed else Rewrite(text, [])
-    low = first.text.lower()
+    chain = Chain(text)
     found: list[Span] = []
     plain = {(a, b) for _, a, b in base}
 
-    def add(kind: str, a: int, b: int) -> None:
-        if (a, b) not in plain and not any(x <= a and b <= y for _, x, y in found):
-            found.append((kind, a, b))
-
-    if odd or bracketed:
-        for kind, a, b in base_spans(first.text):
-            lo, hi, changed = first.origin(a, b)
-            if changed:
-                add(kind, lo, hi)
-    if any(w in low for w in _DOT_WORDS):
-        for m in _SPOKEN_MAIL.finditer(first.text):
-            if m.group(1).lower() in _ENDINGS:
-                add("email", *first.origin(*m.span())[:2])
-    if second := spelled(first.text):
-        for kind, a, b in base_spans(second.text):
-            lo, hi, changed = second.origin(a, b)
-            if changed:
-                add(kind, *first.origin(lo, hi)[:2])
+    def detect() -> None:
+        for kind, a, b in base_spans(chain.text):
+            lo, hi, changed = chain.origin(a, b)
+            if changed and (lo, hi) not in plain and not any(x <= lo and hi <= y for _, x, y in found):
+                found[:] = [f for f in found if not (lo <= f[1] and f[2] <= hi)]
+                found.append((kind, lo, hi))
+
+    if not text.isascii() and chain.then(signs(text)):
+        detect()
+    if _BRACKET.search(chain.text) and chain.then(bracketed(chain.text)):
+        detect()
+    low = chain.text.lower()
+    if any(w in low for w in _DOT_WORDS) and chain.then(spoken(chain.text)):
+        detect()
+    if chain.then(spelled(chain.text)):
+        detect()
     return sorted(found, key=_place)
 
 
@@ -250,32 +297,20 @@ SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, n_disguised long,
 def find(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
     """``docs`` without its text, with counts of base spans by kind, both span lists, and on demand the redacted text.
 
-    One pass over whole texts, no shuffle. A null text counts as empty and stays null when
-    redacted. Other columns of ``docs`` pass through; any of this operator's names are replaced.
+    One pass over whole texts of any length, no shuffle. A null text counts as empty and stays null when
+    redacted. Spans of one start are listed by kind. Repeated rows give equal results, an empty table
+    none. Columns of ``docs`` by this operator's names are replaced; all others pass through as they are.
     """
-    own = [c.split()[0] for c in SCHEMA.split(", ")]
-    rest = [c for c in docs.columns if c not in own and c != text]
-    chosen = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text).alias("redacted"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name != "redacted")
-    return chosen.mapInArrow(_finder(rest, redacted), f"{fields}, {SCHEMA}" if fields else SCHEMA)
-
-
-def _finder(rest: list[str], redacted: bool) -> Callable:
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for text in batch.column("redacted").to_pylist():
-                base, spans = all_spans(text)
-                counts = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((*counts, len(spans) - len(base), written(base), written(spans), redact(text, spans) if redacted and text is not None else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.string()] * 3
-            arrays = [batch.column(c) for c in rest] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=rest + [c.split()[0] for c in SCHEMA.split(", ")])
-
-    return run
+
+    def make(texts):
+        rows = []
+        for t in texts:
+            base, spans = all_spans(t)
+            counts = [sum(s[0] == k for s in base) for k in KINDS]
+            rows.append((*counts, len(spans) - len(base), written(base), written(spans), redact(t, spans) if redacted and t is not None else None))
+        return list(zip(*rows, strict=True)) or [()] * 8
+
+    return map_rows(docs, [text], SCHEMA, make, drop=[text])
 
 
 def base_digest(spans: str) -> str:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, hash_unit, held, id_crc
+from .common import WordTable, hash_unit, held, id_crc, map_rows
 
 _UNIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _NONZERO = 6
@@ -64,9 +64,12 @@ class QualityModel:
     most_words: int = 30_000
     temperature: float = 1.0
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
+    weights: list | None = None
 
     def fit(self, texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 60) -> QualityModel:
-        """Learn word vectors on all ``texts``, the network on four fifths of them and the temperature on the rest."""
+        """Learn word vectors on all ``texts``, the network on four fifths of them and the temperature on the rest; nothing without texts."""
+        if not len(texts):
+            return self
         self._fit_words(texts)
         x = self.pool(texts)
         rng = np.random.default_rng(seed)
@@ -150,41 +153,42 @@ class QualityModel:
         return np.maximum((x - self.centre) / self.scale @ a + b, 0) @ c + d[0]
 
     def score(self, texts: list[str | None], table: WordTable | None = None) -> np.ndarray:
+        """Probability of label 1 for each whole text; one half where nothing was learnt."""
+        if self.weights is None:
+            return np.full(len(texts), 0.5)
         return 1 / (1 + np.exp(-np.clip(self._logits(self.pool(texts, table)) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most_rows: int = 2_500) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most_rows: int = 4_000) -> QualityModel:
     """Fit on the first ``most_rows`` labelled texts, by a hash of the id, of those whose id's CRC-32 leaves another remainder.
 
     The bound holds for any labels: it is a top-k of them, small enough to broadcast, so texts are filtered where they
-    lie. Repeated labels count once; of rows with one id and label, the least text does.
+    lie. Repeated labels count once; of rows with one id and label, the least text does. Without any
+    labelled text the model knows nothing and gives every text one half.
     """
     chosen = labels.where(F.coalesce(id_crc("doc_id") % modulus != remainder, F.lit(False)) & F.col("quality").isNotNull())
     chosen = chosen.select("doc_id", "quality").distinct().orderBy(hash_unit("doc_id", seed=21), "doc_id", "quality").limit(most_rows)
     labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     rows = labelled.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality").collect()
-    if not rows:
-        raise ValueError("no labelled text to learn quality from")
     rows.sort(key=lambda r: (r["text"], r["quality"]))
     return QualityModel().fit([r["text"] for r in rows], np.array([r["quality"] for r in rows]))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; whole texts, one pass, no shuffle. A null text scores as an empty one."""
-    base = docs.drop("score", "predicted")
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` with ``score`` and ``predicted``; whole texts of any length, one pass, no shuffle.
 
-    def run(batches):
-        import pyarrow as pa
+    A null text scores as an empty one, whose vector is zero. A score of exactly one half predicts 1.
+    Repeated rows score alike; an empty table gives no row. Columns of ``docs`` by those two names are
+    replaced; all others pass through as they are.
+    """
+    handle = docs.sparkSession.sparkContext.broadcast(model)
 
+    def make(texts):
         model = handle.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = np.concatenate([model.score(texts[k : k + 64], held(model.token, model.table)) for k in range(0, len(texts), 64)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(found), pa.array(found >= 0.5).cast(pa.int32())], names=batch.schema.names + ["score", "predicted"])
+        found = np.concatenate([model.score(texts[k : k + 64], held(model.token, model.table)) for k in range(0, len(texts), 64)] or [np.zeros(0)])
+        return found, (found >= 0.5).astype(np.int32)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, score double, predicted int")
+    return map_rows(docs, ["text"], "score double, predicted int", make)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
