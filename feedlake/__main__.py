@@ -26,7 +26,8 @@ def main(arguments: list[str]) -> int:
         store.drain() if once else run_sequencer(store)
     else:
         while True:
-            print("reclaimed:", admin.collect_garbage(store, datetime.now(UTC)))
+            now = datetime.now(UTC)
+            print("reclaimed:", admin.collect_garbage(store, now), "swept:", admin.sweep(store, now))
             if once:
                 break
             time.sleep(3600)

@@ -27,11 +27,27 @@ class ExtensionColumn:
 
 @dataclass(frozen=True)
 class MaterializedView:
-    """A set of text tuples: ``of`` is an array of structs of strings, from the columns of a record."""
+    """A set of text tuples: ``of`` is an array of structs of strings, from the columns of a record; ``into`` makes a caller's value of a tuple."""
 
     name: str
     columns: tuple[str, ...]
     of: Column
+    into: Callable[..., object] | None = None
+
+
+@dataclass(frozen=True)
+class ReadOptions:
+    """How far a reader may run ahead. Spark's own scheduling decides on decoding and fetching, so those numbers are hints that are only checked; files and bytes bound what one step of a stream or iterator reads."""
+
+    decode_workers: int = 0
+    fetch_ahead_files: int = 0
+    decode_ahead_partitions: int = 0
+    decode_ahead_files: int = 0
+    decode_ahead_bytes: int = 0
+
+    def __post_init__(self) -> None:
+        if wrong := [n for n, v in vars(self).items() if v < 0]:
+            raise InvalidConfig(f"negative: {wrong}")
 
 
 @dataclass(frozen=True)

@@ -31,3 +31,15 @@ class SchemaMismatch(StoreError):
 
 class ForeignFile(StoreError, ValueError):
     """A file reference that is not under the store's data folder."""
+
+
+class LockLost(StoreError):
+    """A partition lock lapsed before its transaction was done."""
+
+
+class IntegrityError(StoreError, OSError):
+    """A file is not what was written."""
+
+
+class NoSession(StoreError, ValueError):
+    """A store was opened without a session."""

@@ -7,7 +7,8 @@ import threading
 import time
 from collections.abc import Sequence
 
-FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+# FNV-1a's offsets and primes, by bits.
+FNV = {64: (0xCBF29CE484222325, 0x100000001B3), 32: (0x811C9DC5, 0x01000193)}
 
 
 def format_key(parts: Sequence[str], values: Sequence[str]) -> str:
@@ -31,14 +32,23 @@ def parse_key(key: str, parts: Sequence[str]) -> list[str]:
     return values
 
 
-def fnv64a(text: str) -> int:
-    """64-bit FNV-1a of a text's UTF-8 bytes."""
-    h = FNV_OFFSET
+def _fnv(text: str, bits: int) -> int:
+    h, prime = FNV[bits]
     for b in text.encode():
-        h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
+        h = ((h ^ b) * prime) & ((1 << bits) - 1)
     return h
 
 
+def fnv64a(text: str) -> int:
+    """64-bit FNV-1a of a text's UTF-8 bytes: names a partition's lock."""
+    return _fnv(text, 64)
+
+
+def fnv32a(text: str) -> int:
+    """32-bit FNV-1a of a text's UTF-8 bytes: names a store's sequencer lock."""
+    return _fnv(text, 32)
+
+
 _last, _guard = 0, threading.Lock()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -35,13 +36,15 @@ class Eq:
 
 @dataclass(frozen=True)
 class Prefix:
-    """LIKE with a trailing %; wildcards in ``value`` stay wildcards."""
+    """LIKE with a trailing %; wildcards in ``value`` stay wildcards, and a backslash makes the next character plain, also that %."""
 
     column: str
     value: str
 
     def to_column(self, find: Resolver) -> Column:
-        return find(self.column).like(self.value + "%")
+        # Spark takes a backslash only before a wildcard or another backslash
+        pattern = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], self.value + "%", flags=re.DOTALL)
+        return find(self.column).like(pattern)
 
 
 @dataclass(frozen=True)

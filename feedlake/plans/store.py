@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from datetime import datetime
 from urllib.parse import unquote
@@ -13,34 +15,57 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import StoreConfig
-from ..errors import ForeignFile, LockNotInTransaction, MetadataTooLarge, SchemaMismatch, VersionConflict
+from ..config import ReadOptions, StoreConfig
+from ..errors import ForeignFile, IntegrityError, LockLost, LockNotInTransaction, MetadataTooLarge, NoSession, SchemaMismatch, VersionConflict
 from ..functions import values
 from ..functions.keys import format_key, parse_key, uuid7
 from ..operators import dedup
 from ..operators.filters import Filter, compile_filters, resolver
-from ..sources.catalog import Log, State, files_for, files_frame
+from ..sources.catalog import Log, State, files_for, files_frame, mounted
 from .lock import PartitionLock
 
+def _footer(path: str) -> tuple[int, int]:
+    """Records and uncompressed bytes of a Parquet file, by its footer."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    found = pq.read_metadata(inside, filesystem=system)
+    return found.num_rows, sum(found.row_group(g).column(c).total_uncompressed_size for g in range(found.num_row_groups) for c in range(found.num_columns))
+
+
 OFFSET_NONE, OFFSET_EARLIEST = 0, 1
 BROADCAST_FILES = 50_000
 _ZERO = {T.StringType: "", T.BinaryType: b"", T.BooleanType: False}
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: object):
+    """A session setting for a while."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Store:
     """A store of one ``StoreConfig``. Reads are lazy; a write is one commit, whole or not at all."""
 
     def __init__(self, spark: SparkSession, config: StoreConfig):
+        if spark is None:
+            raise NoSession("a store needs a session")
         config.validate()
         self.spark, self.config = spark, config
-        self.root = config.root.rstrip("/")
+        self.root = mounted(config.root.rstrip("/"))
         self.data = f"{self.root}/data"
         self.fs = files_for(spark, self.root)
         self.log = Log(self.fs, self.root)
         self._pending: list[dict] | None = None
+        self._markers: list[str] = []
         self._locks: list[PartitionLock] = []
-        # many explicit paths are looked up by a few tasks, not by one task each
-        spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
+        self.woken = threading.Event()  # set by each commit of this process, for a sequencer that waits
 
     # -- layout ---------------------------------------------------------------------------------
 
@@ -116,7 +141,9 @@ class Store:
         if not paths:
             empty = self.spark.createDataFrame([], schema).withColumns({"_file": F.lit(""), "_row": F.lit(0).cast("long")})
             return empty.join(told, "_file")
-        opened = self.spark.read.schema(schema).parquet(*paths)
+        # many explicit paths are looked up by a few tasks, not by one task each
+        with _setting(self.spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * self.spark.sparkContext.defaultParallelism):
+            opened = self.spark.read.schema(schema).parquet(*paths)
         rows = opened.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         if self.config.missing_as_zero:
             rows = rows.withColumns({f.name: F.coalesce(f.name, F.lit(_ZERO.get(type(f.dataType), 0)).cast(f.dataType)) for f in schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))})
@@ -165,6 +192,36 @@ class Store:
     def read_partition_iter(self, *filters: Filter, with_history: bool = False) -> Iterator[Row]:
         return self.read_partitions(*filters, with_history=with_history).orderBy("partition_key").toLocalIterator()
 
+    def read_partition_refs_iter(self, refs: DataFrame, with_history: bool = False) -> Iterator[tuple[str, int, list[Row], DataFrame]]:
+        """For each partition of resolved references, in key order: its key, version, references, and records in order, a lazy DataFrame.
+
+        Only references come to the driver; a partition of any size stays a table until its reader wants it.
+        """
+        for row in refs.groupBy("partition_key").agg(F.max("version").alias("version"), F.sort_array(F.collect_list("s3_key")).alias("keys")).orderBy("partition_key").toLocalIterator():
+            own = refs.where(F.col("partition_key") == row["partition_key"])
+            yield row["partition_key"], row["version"], own.orderBy("s3_key").collect(), self.ordered(self.read_refs(own, with_history))
+
+    def read_partition_range_iter(self, since: datetime | None = None, until: datetime | None = None, with_history: bool = False) -> Iterator[tuple[str, int, list[Row], DataFrame]]:
+        """``read_partition_refs_iter`` of the files written in a time range."""
+        return self.read_partition_refs_iter(self.resolve_range(since, until), with_history)
+
+    def slices(self, refs: DataFrame, options: ReadOptions) -> Iterator[list[Row]]:
+        """References in feed order (else by key), in runs of as many files and uncompressed bytes as the options allow, one file at least."""
+        held, size = [], 0
+        for r in refs.orderBy("offset", "partition_key", "s3_key").toLocalIterator():
+            full = 0 < options.decode_ahead_files <= len(held) or 0 < options.decode_ahead_bytes < size + (r["uncompressed_size"] or 0)
+            if held and full:
+                yield held
+                held, size = [], 0
+            held.append(r)
+            size += r["uncompressed_size"] or 0
+        if held:
+            yield held
+
+    def file_ref_stats(self, refs: DataFrame) -> DataFrame:
+        """How many files, records and uncompressed bytes references stand for."""
+        return refs.agg(F.count("*").alias("files"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("records"), F.coalesce(F.sum("uncompressed_size"), F.lit(0)).alias("uncompressed_bytes"))
+
     def at_version(self, key: str, version: int, with_history: bool = False) -> DataFrame:
         """A partition's records as of one of its versions."""
         parse_key(key, self.config.part_names)
@@ -184,9 +241,10 @@ class Store:
         last = found.agg(F.max("feed_seq")).first()[0] if since < until else None
         return found.orderBy("feed_seq"), since if last is None else last + 1
 
-    def poll_records(self, since: int, until: int) -> DataFrame:
-        """Records of polled files, raw, in feed order."""
-        return self.scan(self.poll(since, until)[0]).orderBy("_offset", "_row")
+    def poll_records(self, since: int, until: int, ordered: bool = True) -> DataFrame:
+        """Records of polled files, raw, in feed order, or in none, which needs no sort."""
+        rows = self.scan(self.poll(since, until)[0])
+        return rows.orderBy("_offset", "_row") if ordered else rows
 
     def poll_iter(self, since: int, until: int | None = None, page: int = 10_000) -> Iterator[Row]:
         """References in feed order, page by page, to the first empty page or ``until``."""
@@ -270,45 +328,65 @@ class Store:
     def _append(self, tagged: DataFrame, token: str | None, token_of: Column | None, expected: int | None, ext: dict, order_by: Sequence[Column]) -> list[dict]:
         names = self.config.part_names
         columns = [f"part_{n}" for n in names]
-        tokens: dict[str, str] = {}
-        if token_of is not None:
-            tokens = {format_key(names, r[:-1]): r[-1] for r in tagged.groupBy(*columns).agg(token_of.alias("t")).collect() if r[-1]}
-        staged = self._stage(tagged, columns, order_by)
-        of = {key: tokens.get(key, token) or None for key in staged}
-        views = self._stage_views(tagged, of)
+        known: dict[str, dict] = {}
+        state = self.log.refresh()
+        if token and any(t == token for _, t in state.tokens):  # a retry: what the first call wrote is not staged again
+            keys = [format_key(names, r) for r in tagged.select(*columns).distinct().collect()]
+            known = {k: state.files[state.tokens[k, token]] for k in keys if (k, token) in state.tokens}
+            if len(known) == len(keys):
+                return [known[k] for k in sorted(known)]
+            key_of = F.concat_ws("/", *(F.concat(F.lit(f"{n}="), F.col(c)) for n, c in zip(names, columns, strict=True)))
+            tagged = tagged.where(~key_of.isin(*known)) if known else tagged
+        folder = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        try:
+            staged = self._stage(tagged, folder, columns, order_by)
+            if not staged:
+                return [known[k] for k in sorted(known)]
+            # the input is read once: tokens and views come from what was staged
+            written = self.spark.read.schema(T.StructType([*self.config.schema.fields, *(T.StructField(c, T.StringType()) for c in columns)])).parquet(folder)
+            tokens: dict[str, str] = {}
+            if token_of is not None:
+                tokens = {format_key(names, r[:-1]): r[-1] for r in written.groupBy(*columns).agg(token_of.alias("t")).collect() if r[-1]}
+            of = {key: tokens.get(key, token) or None for key in staged}
+            return self._commit(staged, of, expected, ext, self._stage_views(written), known)
+        finally:
+            self.fs.delete(folder)
+
+    def _commit(self, staged: dict[str, tuple[str, int]], of: dict[str, str | None], expected: int | None, ext: dict, views: list[tuple[str, str]], known: dict[str, dict]) -> list[dict]:
         written_at = self.config.clock().isoformat()
         moved: dict[str, dict] = {}
+        markers: list[str] = []
 
         def actions(state: State) -> list[dict]:
             out, file_id = [], state.next_file_id + sum(a["action"] == "add_file" for a in self._pending or [])
-            for key in sorted(staged):
-                if (key, of[key]) in state.tokens:
-                    continue
-                version = state.partitions.get(key, 0) + sum(a["action"] == "add_file" and a["file"]["partition_key"] == key for a in self._pending or [])
-                if expected is not None and version != expected:
-                    raise VersionConflict(f"{key} is at version {version}, not {expected}")
-                if key not in moved:
-                    moved[key] = self._publish(key, staged[key], of[key], ext)
-                file = moved[key] | {"file_id": file_id, "version": version + 1, "written_at": written_at}
-                out.append({"action": "add_file", "file": file})
+            fresh = [k for k in sorted(staged) if (k, of[k]) not in state.tokens]
+            before = {k: state.partitions.get(k, 0) + sum(a["action"] == "add_file" and a["file"]["partition_key"] == k for a in self._pending or []) for k in fresh}
+            if expected is not None and (wrong := [k for k in fresh if before[k] != expected]):
+                raise VersionConflict(f"{wrong[0]} is at version {before[wrong[0]]}, not {expected}")
+            if missing := [k for k in fresh if k not in moved]:
+                entries, marker = self._publish({k: staged[k] for k in missing}, of, ext)
+                moved.update(entries)
+                markers.append(marker)
+            for key in fresh:
+                out.append({"action": "add_file", "expected": expected, "file": moved[key] | {"file_id": file_id, "version": before[key] + 1, "written_at": written_at}})
                 file_id += 1
             return out + [{"action": "add_tuples", "view": v, "path": p} for v, p in views] if out else []
 
         if self._pending is not None:
             added = actions(self.log.refresh())
             self._pending += added
+            self._markers += markers
         else:
             added = self.log.commit(actions)
-        for a in added:
-            if a["action"] == "add_file" and self._pending is None:
-                self.fs.delete(self._marker(a["file"]["s3_key"]))
+            for m in markers:
+                self.fs.delete(m)
+            self.woken.set()
         state = self.log.refresh()
-        fresh = {a["file"]["partition_key"]: a["file"] for a in added if a["action"] == "add_file"}
-        return [fresh[k] if k in fresh else state.files[state.tokens[k, of[k]]] for k in sorted(staged)]
+        fresh = {a["file"]["partition_key"]: a["file"] for a in added if a["action"] == "add_file"} | known
+        return [fresh[k] if k in fresh else state.files[state.tokens[k, of[k]]] for k in sorted({*staged, *known})]
 
-    def _stage(self, tagged: DataFrame, columns: list[str], order_by: Sequence[Column]) -> dict[str, tuple[str, int]]:
+    def _stage(self, tagged: DataFrame, folder: str, columns: list[str], order_by: Sequence[Column]) -> dict[str, tuple[str, int]]:
         """Write one file per partition aside; key to (path, bytes)."""
-        folder = f"{self.root}/_staging/{uuid.uuid4().hex}"
         order = list(order_by) or [F.col("_input_row")]
         placed = tagged.withColumn("_input_row", F.monotonically_increasing_id())
         # a fixed number of tasks: adaptive merging would write the small partitions' files one after another
@@ -329,62 +407,117 @@ class Store:
     def _marker(self, path: str) -> str:
         return f"{self.root}/_catalog/pending/{path.rsplit('/', 1)[1]}.json"
 
-    def _publish(self, key: str, found: tuple[str, int], token: str | None, ext: dict) -> dict:
-        """Move a staged file to its place, behind a marker for the clean-up of orphans; its catalog entry."""
-        staged, size = found
-        path = f"{self.data}/{'/'.join(staged.split('/')[-1 - len(self.config.parts) : -1])}/{uuid7()}.parquet"
-        records, uncompressed = self._footer(staged)
-        entry = {"s3_key": path, "partition_key": key, "parts": parse_key(key, self.config.part_names), "file_size": size, "uncompressed_size": uncompressed, "record_count": records, "idempotency_token": token, "feed_seq": None, "feed_seq_at": None, "ext": ext}
-        side = json.dumps({k: entry[k] for k in ("partition_key", "record_count", "uncompressed_size", "idempotency_token", "ext")})
-        if len(side.encode()) > values.SIDECAR_BYTES:
-            raise MetadataTooLarge(f"{len(side.encode())} bytes of metadata; {values.SIDECAR_BYTES} fit")
-        if not all(" " <= c <= "~" or c == "\t" for c in f"{token or ''}{''.join(v or '' for v in ext.values())}"):
-            raise ValueError("tokens and metadata take printable ASCII characters, spaces and tabs")
-        self.fs.create(self._marker(path), json.dumps({"s3_key": path, "intended_at": self.config.clock().isoformat()}))
-        self.fs.move(staged, path)
-        self.fs.create(f"{self.root}/_sidecar/{path.rsplit('/', 1)[1]}.json", side)
-        return entry
-
-    def _footer(self, path: str) -> tuple[int, int]:
-        if "://" in path:
-            return self.spark.read.parquet(path).count(), 0
-        import pyarrow.parquet as pq
-
-        found = pq.read_metadata(path)
-        return found.num_rows, sum(found.row_group(g).column(c).total_uncompressed_size for g in range(found.num_row_groups) for c in range(found.num_columns))
+    def _publish(self, staged: dict[str, tuple[str, int]], of: dict[str, str | None], ext: dict) -> tuple[dict[str, dict], str]:
+        """Move staged files to their places, behind one marker for the clean-up of orphans; their catalog entries, and the marker.
+
+        Footers are read and files moved by many threads; a write has one marker and one sidecar, however many files it has.
+        """
+        footers, write = self._footers({k: path for k, (path, _) in staged.items()}), uuid7()
+        entries, sides = {}, {}
+        for key, (path, size) in staged.items():
+            name, token = f"{uuid7()}.parquet", of[key]
+            records, uncompressed = footers[key]
+            place = f"{self.data}/{'/'.join(path.split('/')[-1 - len(self.config.parts) : -1])}/{name}"
+            entry = {"s3_key": place, "partition_key": key, "parts": parse_key(key, self.config.part_names), "file_size": size, "uncompressed_size": uncompressed, "record_count": records, "idempotency_token": token, "feed_seq": None, "feed_seq_at": None, "ext": ext}
+            side = {k: entry[k] for k in ("partition_key", "record_count", "uncompressed_size", "idempotency_token", "ext")}
+            if (long := len(json.dumps(side).encode())) > values.SIDECAR_BYTES:
+                raise MetadataTooLarge(f"{long} bytes of metadata; {values.SIDECAR_BYTES} fit")
+            if not all(" " <= c <= "~" or c == "\t" for c in f"{token or ''}{''.join(v or '' for v in ext.values())}"):
+                raise ValueError("tokens and metadata take printable ASCII characters, spaces and tabs")
+            entries[key], sides[name] = entry, side
+        marker, sidecar = f"{self.root}/_catalog/pending/{write}.json", f"{self.root}/_sidecar/{write}.json"
+        self.fs.create(marker, json.dumps({"s3_keys": [e["s3_key"] for e in entries.values()], "sidecar": sidecar, "intended_at": self.config.clock().isoformat()}))
+        self.fs.create(sidecar, json.dumps(sides))
+
+        def move(key: str) -> None:
+            path, size = staged[key]
+            self.fs.move(path, entries[key]["s3_key"])
+            if (found := self.fs.size(entries[key]["s3_key"])) != size:
+                raise IntegrityError(f"{entries[key]['s3_key']} has {found} bytes, not {size}")
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(move, entries))
+        return entries, marker
+
+    def _footers(self, paths: dict[str, str]) -> dict[str, tuple[int, int]]:
+        """Records and uncompressed bytes of each file: read here where files are mounted, else in tasks."""
+        if "://" not in self.root:
+            with ThreadPoolExecutor(16) as pool:
+                return dict(zip(paths, pool.map(_footer, paths.values()), strict=True))
+        rows = self.spark.createDataFrame(list(paths.items()), "key string, path string").repartition(min(len(paths), 64))
+
+        def read(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                found = [_footer(p) for p in batch.column("path").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["key", "records", "size"])
+
+        return {r["key"]: (r["records"], r["size"]) for r in rows.mapInArrow(read, "key string, records long, size long").collect()}
 
     # -- transactions and locks -----------------------------------------------------------------
 
     @contextmanager
     def transaction(self):
-        """Writes inside become one commit at the end; an exception leaves nothing visible. Locks last as long."""
+        """Writes inside become one commit at the end; an exception leaves nothing visible. Locks last as long. One inside another joins it.
+
+        A write with an expected version conflicts with any commit to its partitions meanwhile; others
+        take the next versions. Where a token has been used meanwhile, its first file stands.
+        """
         if self._pending is not None:
             yield self
             return
-        self._pending = []
-        based = self.log.refresh()
-        seen = {k: based.partitions.get(k, 0) for k in based.partitions}
+        self._pending, self._markers = [], []
+        self.log.refresh()
         try:
             yield self
             mine = self._pending
 
             def actions(state: State) -> list[dict]:
-                touched = {a["file"]["partition_key"] for a in mine if a["action"] == "add_file"}
-                if clash := [k for k in touched if state.partitions.get(k, 0) != seen.get(k, 0)]:
-                    raise VersionConflict(f"changed meanwhile: {sorted(clash)}")
-                shift = state.next_file_id - min((a["file"]["file_id"] for a in mine if a["action"] == "add_file"), default=0)
-                return [a | {"file": a["file"] | {"file_id": a["file"]["file_id"] + shift}} if a["action"] == "add_file" else a for a in mine]
+                if lost := [lock.key for lock in self._locks if not lock.held()]:
+                    raise LockLost(f"locks lapsed: {lost}")
+                out, versions, file_id = [], {}, state.next_file_id
+                for a in mine:
+                    if a["action"] != "add_file":
+                        out.append(a)
+                        continue
+                    key, token = a["file"]["partition_key"], a["file"]["idempotency_token"]
+                    now = versions.get(key, state.partitions.get(key, 0))
+                    if token and (key, token) in state.tokens:
+                        continue
+                    if a["expected"] is not None and a["file"]["version"] != now + 1:
+                        raise VersionConflict(f"{key} changed meanwhile: it is at version {now}")
+                    versions[key] = now + 1
+                    out.append(a | {"file": a["file"] | {"file_id": file_id, "version": now + 1}})
+                    file_id += 1
+                return out if any(a["action"] == "add_file" for a in out) else []
 
             self.log.commit(actions)
-            for a in mine:
-                if a["action"] == "add_file":
-                    self.fs.delete(self._marker(a["file"]["s3_key"]))
+            live = {f["s3_key"] for f in self.log.refresh().files.values()}
+            for m in self._markers:
+                if all(k in live for k in json.loads(self.fs.read(m))["s3_keys"]):
+                    self.fs.delete(m)  # a marker with a file that lost a race stays for the clean-up
+            self.woken.set()
         finally:
             self._pending = None
             for lock in self._locks:
                 lock.release()
             self._locks = []
 
+    def run_in_transaction(self, work: Callable[[Store], object]) -> object:
+        """What ``work`` returns, its writes being one commit; it joins a transaction that is open."""
+        with self.transaction():
+            return work(self)
+
+    @contextmanager
+    def detached(self):
+        """Writes inside commit at once and stay, whatever becomes of the transaction around them."""
+        outer, self._pending = self._pending, None
+        try:
+            yield self
+        finally:
+            self._pending = outer
+
     def lock_partition(self, key: str, timeout: float) -> None:
         """Hold a partition's advisory lock until the transaction ends, or raise LockTimeout."""
         if self._pending is None:
@@ -401,10 +534,10 @@ class Store:
         rows = records.select(F.inline(view.of)).toDF(*view.columns).select(*(F.col(c).cast("string") for c in view.columns))
         return rows.dropna().dropDuplicates()
 
-    def _stage_views(self, tagged: DataFrame, of: dict[str, str | None]) -> list[tuple[str, str]]:
+    def _stage_views(self, written: DataFrame) -> list[tuple[str, str]]:
         out = []
         for v in self.config.views:
-            new = self._tuples(tagged, v)
+            new = self._tuples(written, v)
             if self.log.refresh().views.get(v.name):
                 new = new.join(self.view(v.name), list(v.columns), "left_anti")
             path = f"{self.root}/_catalog/mv/{v.name}/{uuid.uuid4().hex}"
@@ -426,6 +559,12 @@ class Store:
         rows = self.view(name)
         return rows.where(compile_filters(filters, resolver({c: c for c in rows.columns}))).orderBy(*rows.columns)
 
+    def lookup_values(self, name: str, *filters: Filter) -> Iterator[object]:
+        """What the view's ``into`` makes of each tuple that holds all filters, in order; the tuple as a dict without one."""
+        into = next((v.into for v in self.config.views if v.name == name), None)
+        for row in self.lookup(name, *filters).toLocalIterator():
+            yield into(**row.asDict()) if into else row.asDict()
+
     # -- compaction -----------------------------------------------------------------------------
 
     def compact_rows(self, *filters: Filter) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
+from ..config import ReadOptions
 from ..plans.store import Store
-from ..sources.catalog import LocalFiles, Log
+from ..sources.catalog import Log, parse_time, readable
 
 REFS = "feed_seq long, s3_key string, partition_key string, version long"
 
@@ -26,8 +28,12 @@ class FeedReader(DataSourceStreamReader):
     """Offsets are feed offsets; the driver alone reads the log."""
 
     def __init__(self, options: dict):
-        self.log = Log(LocalFiles(), options["root"])
+        self.log = Log(readable(options["root"]), options["root"])
         self.start = int(options.get("startingoffset", "1"))
+        if at := options.get("startingtimestamp"):
+            files = self.log.refresh().files.values()
+            later = [f["feed_seq"] for f in files if f.get("feed_seq") and parse_time(f["feed_seq_at"]) >= parse_time(at)]
+            self.start = min(later, default=self.log.refresh().last_seq + 1)
         self.page = int(options.get("filesperpartition", "10000"))
 
     def initialOffset(self) -> dict:
@@ -49,7 +55,7 @@ class FeedReader(DataSourceStreamReader):
 
 
 class FeedSource(DataSource):
-    """``spark.readStream.format("store_feed").option("root", ...)``; options startingOffset and filesPerPartition."""
+    """``spark.readStream.format("store_feed").option("root", ...)``; options startingOffset, startingTimestamp and filesPerPartition."""
 
     @classmethod
     def name(cls) -> str:
@@ -62,20 +68,32 @@ class FeedSource(DataSource):
         return FeedReader(self.options)
 
 
-def stream_refs(store: Store, starting_offset: int = 1, files_per_partition: int = 10_000) -> DataFrame:
-    """A streaming DataFrame of the feed's file references."""
+def stream_refs(store: Store, starting_offset: int = 1, files_per_partition: int = 10_000, starting_at: datetime | None = None) -> DataFrame:
+    """A streaming DataFrame of the feed's file references, from an offset or from the first one assigned at ``starting_at`` or later."""
     store.spark.dataSource.register(FeedSource)
     reader = store.spark.readStream.format("store_feed").option("root", store.root)
+    if starting_at is not None:
+        reader = reader.option("startingTimestamp", starting_at.isoformat())
     return reader.option("startingOffset", starting_offset).option("filesPerPartition", files_per_partition).load()
 
 
-def stream_records(store: Store, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, interval: str = "1 second", **options) -> StreamingQuery:
-    """Call ``handle`` with each micro-batch's records, raw, with ``_offset``; the checkpoint holds where to go on."""
+def stream_records(store: Store, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, interval: str = "1 second", limits: ReadOptions | None = None, **options) -> StreamingQuery:
+    """Call ``handle`` with each micro-batch's records, raw, with ``_offset``, in no order; the checkpoint holds where to go on.
+
+    ``limits`` bounds the files and uncompressed bytes of a call: then a micro-batch, which may be a whole
+    backlog, is handed on in runs of files, and the number that ``handle`` gets is a run's first
+    offset instead of the micro-batch's. A micro-batch that is repeated makes the same runs.
+    """
 
     def batch(refs: DataFrame, number: int) -> None:
         seqs = refs.selectExpr("min(feed_seq)", "max(feed_seq)").first()
-        if seqs[0] is not None:
-            handle(store.poll_records(seqs[0], seqs[1] + 1), number)
+        if seqs[0] is None:
+            return
+        if limits is None:
+            handle(store.poll_records(seqs[0], seqs[1] + 1, ordered=False), number)
+            return
+        for run in store.slices(store.poll(seqs[0], seqs[1] + 1)[0], limits):
+            handle(store.poll_records(run[0]["offset"], run[-1]["offset"] + 1, ordered=False), run[0]["offset"])
 
     writer = stream_refs(store, **options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
@@ -102,7 +120,8 @@ def tail_records(store: Store, since: int, **options) -> Iterator[Row]:
 
 
 def run_sequencer(store: Store, interval: float = 1.0, batch: int = 1000, stop: Callable[[], bool] = lambda: False) -> None:
-    """Drain, then again at each interval, until told to stop."""
+    """Drain, then again at each interval, or at once after a commit of this process, until told to stop."""
     while not stop():
+        store.woken.clear()
         store.drain(batch)
-        time.sleep(interval)
+        store.woken.wait(interval)
