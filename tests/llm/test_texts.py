@@ -289,9 +289,11 @@ def test_paragraphs_of_one_line(spark):
     many = "".join(chr(0x4E00 + int(n)) for n in np.random.default_rng(41).integers(0, 3000, 400))
     whole = [s.join(said) for s in ("s. ", "é! ", "9? ", "。", "؟ ", "। ", ". ")] + [words, many]
     rows = spark.createDataFrame([(n, t, t[: 2 * len(t) // 3] + "q" * 9) for n, t in enumerate(whole)], "n int, a string, b string")
-    for r in rows.select("n", iblt.digests(F.col("a")).alias("a"), iblt.digests(F.col("b")).alias("b")).collect():
+    rows = rows.select("n", *(iblt.sentences(F.col(x)).alias(x) for x in "ab"))
+    high = F.greatest(iblt.level(F.col("a")), iblt.level(F.col("b")))
+    for r in rows.select("n", *(iblt.paragraphs(F.col(x), high).alias(x) for x in "ab")).collect():
         assert len(r["a"]) >= 10
-        assert len(set(r["b"]) - set(r["a"])) <= 2 and len(set(r["a"]) & set(r["b"])) >= 5
+        assert len(set(r["b"]) - set(r["a"])) <= 2 and len(set(r["a"]) & set(r["b"])) >= 5, r["n"]
 
 
 # -- suffixes -------------------------------------------------------------------------------------
@@ -355,7 +357,7 @@ def test_keep_one(spark):
 def test_warc_round_trip(spark, tmp_path):
     page = '<html lang="en"><head><title>A &amp; B</title><script>x="</p>"</script></head><body><!-- no --><p>One<br>two</p><a href="/x?a=1&amp;b=2">link</a></body></html>'
     source = warc.response(1, "http://h/ü", page)
-    meta, text = warc.derive(source)
+    meta, text = warc.derivatives(source)
     assert text.block.decode() == "One\ntwo\nlink" and b"outlink: /x?a=1&b=2" in meta.block and b"title: A & B" in meta.block
     assert {r.get("WARC-Refers-To") for r in (meta, text)} == {source.get("WARC-Record-ID")}
     assert b"http-header-content-type: text/html" in meta.block and source.get("WARC-Payload-Digest").encode() in meta.block
@@ -368,3 +370,84 @@ def test_warc_round_trip(spark, tmp_path):
     got = {(r["page_id"], r["record_type"]): r["content"] for r in warc.derive_pages(pages).collect()}
     assert len(got) == 6 and got[3, "conversion"] == "plain & bold" and got[1, "conversion"] == ""
     assert hashlib.sha1(text.block).digest() and warc.digest(text.block) == text.get("WARC-Block-Digest")
+
+
+def test_warc_files_are_derived(spark, tmp_path):
+    import gzip
+    import zlib
+
+    page = b"<p>caf\xe9 <b>au</b> lait<p>two"
+    codings = {
+        "plain": (page, []),
+        "gzip": (gzip.compress(page), [("Content-Encoding", "gzip")]),
+        "deflate": (zlib.compress(page), [("Content-Encoding", "deflate")]),
+        "chunked": (b"5\r\n" + page[:5] + b"\r\n%x\r\n" % len(page[5:]) + page[5:] + b"\r\n0\r\n\r\n", [("Transfer-Encoding", "chunked")]),
+        "unknown": (page, [("Content-Encoding", "br")]),
+        "image": (page, []),
+    }
+    made = []
+    for name, (payload, extra) in codings.items():
+        headers = [("Content-Type", "image/png" if name == "image" else "text/html; charset=latin-1"), *extra]
+        block = b"HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + payload
+        made.append(warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{name}>"), ("WARC-Date", "2020-02-02T00:00:00Z"), ("WARC-Target-URI", f"http://h/{name}")], block))
+    made.append(warc.Record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:x:ask>")], b"GET / HTTP/1.1\r\n\r\n"))
+    (tmp_path / "a.warc.gz").write_bytes(warc.file_contents(made))
+    (tmp_path / "b.warc").write_bytes(warc.file_contents(made[:1] * 2, False))
+    got = warc.derive(warc.read(spark, str(tmp_path))).collect()
+    texts = {r["refers_to"]: r["content"] for r in got if r["record_type"] == "conversion"}
+    assert texts == {f"<urn:x:{n}>": "café au lait\ntwo" for n in ("plain", "gzip", "deflate", "chunked")}
+    metas = {r["refers_to"]: r["content"] for r in got if r["record_type"] == "metadata"}
+    assert set(metas) == {f"<urn:x:{n}>" for n in codings} and "http-header-content-type: text/html" in metas["<urn:x:gzip>"]
+    assert len(got) == 10 + 4 and {r["record_date"] for r in got} == {"2020-02-02T00:00:00Z"}
+    assert all("WARC-Concurrent-To" not in {f["name"] for f in r["fields"]} for r in got)
+    for bad in (b"nonsense", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nxx", b"WARC/1.1\r\nA: b\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.from_bytes(bad))
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for piece in ("<p ", "<a ", "<title>", "<", "<!--", "<a href=\"", "&", "<script>", "</", "<p a='", "<head>", "<a href = "):
+        warc.scan(piece * 300_000)
+    assert time.perf_counter() - began < 12
+    assert warc.scan("a < b <p title='x>y'>c<style>no</style><!-- no -->d &amp; e").text == "a < b\nc d & e"
+
+
+class Visible(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """Another reading of a well-formed page."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in (*warc.HIDDEN, "head")
+        self.parts += ["\n"] * (tag in warc.BLOCKS) + [" "] * (tag in warc.HIDDEN)
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in (*warc.HIDDEN, "head")
+        self.parts += ["\n"] * (tag in warc.BLOCKS)
+
+    def handle_comment(self, data):
+        self.parts.append(" ")
+
+    def handle_data(self, data):
+        self.parts.append("" if self.hidden else data.replace("\n", " "))
+
+
+def test_every_page_equals_another_parser(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {(r["page_id"], r["record_type"]): r for r in warc.op3_warc_derivatives(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == 2 * len(pages)
+    for p in pages:
+        parser = Visible()
+        parser.feed(p["html"] or "")
+        parser.close()
+        lines = [" ".join(x.split()) for x in "".join(parser.parts).split("\n")]
+        text, meta = got[p["page_id"], "conversion"], got[p["page_id"], "metadata"]
+        assert text["content"] == "\n".join(x for x in lines if x)
+        assert text["refers_to"] == meta["refers_to"] and meta["content"].count("outlink:") == len(re.findall(r"<a\b[^>]*\bhref", p["html"] or ""))
+        assert text["block_digest"] == warc.digest(text["content"].encode()) and text["target_uri"] == (p["url"] or "")
