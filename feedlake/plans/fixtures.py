@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from datetime import UTC, datetime, timedelta
 from functools import cache
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ExtensionColumn, MaterializedView, StoreConfig
+from ..sources.catalog import mounted
 from .store import Store
 
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -31,9 +33,18 @@ class Clock:
 
 @cache
 def _folder(spark: SparkSession, sf_dir: str) -> str:
-    found = tempfile.mkdtemp(prefix="feedlake-fixture-")
-    atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found
+    """A folder for this process's stores: where ``spark.checkpoint.dir`` is, which all machines share; a temporary one only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        found = tempfile.mkdtemp(prefix="feedlake-fixture-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        return found
+    return f"{mounted(shared.rstrip('/'))}/feedlake-fixture-{uuid.uuid4().hex}"
+
+
+def folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A fresh folder beside the stores."""
+    return f"{_folder(spark, sf_dir)}/{name}-{uuid.uuid4().hex}"
 
 
 def _micros(column: str) -> Column:
@@ -51,7 +62,7 @@ def _describe(spark: SparkSession, sf_dir: str, name: str, root: str) -> tuple[S
     if source == "events":
         pair = lambda kind: F.struct(F.col("user_id").cast("string").alias("user_id"), kind.alias("event_type"))
         views = [
-            MaterializedView("user_events", ("user_id", "event_type"), F.array(pair(F.col("event_type")))),
+            MaterializedView("user_events", ("user_id", "event_type"), F.array(pair(F.col("event_type"))), lambda user_id, event_type: f"{user_id}:{event_type}"),
             MaterializedView("user_labels", ("user_id", "label"), F.array(pair(F.col("event_type")), pair(F.lit("any")))),
         ]
         parts = [("event_day", F.date_format("ts", "yyyy-MM-dd")), ("event_type", F.col("event_type"))]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
@@ -11,11 +10,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ReadOptions
 from ..errors import VersionConflict
 from ..operators.filters import GE, LT, And, Between, Eq, In, Or, Prefix
-from ..streaming.feed import stream_records
+from ..streaming.feed import run_sequencer, stream_records, tail, tail_records
 from .admin import collect_garbage, pending_depth, rebuild
-from .fixtures import BATCHES, EPOCH, SEQUENCED, Clock, store, table
+from .fixtures import BATCHES, EPOCH, SEQUENCED, Clock, folder, store, table
 from .store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,23 +173,24 @@ def q19_occ_chain(spark, sf_dir):
     return s.resolve(Eq("order_month", "1996-03"), Eq("priority", "5-LOW")).groupBy("partition_key").agg(F.max("version").alias("version"))
 
 
-@_query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 4 IN (0, 1)")
+@_query(_OR + "SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT pk, CASE WHEN batch IN (0, 1) THEN batch ELSE 2 END FROM o)) AS files_on_disk FROM orders")
 def q20_token_retry(spark, sf_dir):
     s, rows = _own(spark, sf_dir, "or_raw_retry")
     for _ in range(2):
         s.write(rows.where("o_orderkey % 4 = 1"), token="once")
         s.write(_others(rows, 0, 1), token="others")
-    return s.read(And()).where("o_orderkey % 4 IN (0, 1)").agg(F.count("*").alias("n"))
+    on_disk = sum(p.endswith(".parquet") for folder in ("data", "_staging") for p, _, _ in s.fs.walk(f"{s.root}/{folder}"))
+    return s.read(And()).agg(F.count("*").alias("n"), F.lit(on_disk).cast("long").alias("files_on_disk"))
 
 
-@_query(_OR + "SELECT pk AS partition_key, count(DISTINCT batch) AS files FROM o WHERE batch IN (0, 2) GROUP BY pk")
+@_query(_OR + "SELECT pk AS partition_key, count(DISTINCT CASE WHEN batch IN (0, 2) THEN batch ELSE 1 END) AS files FROM o GROUP BY pk")
 def q21_token_of(spark, sf_dir):
     s, rows = _own(spark, sf_dir, "or_raw_each")
     digest = F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.col("o_orderkey").cast("string")))), 256)
     for _ in range(2):
         s.write(rows.where("o_orderkey % 4 = 2"), metadata={"job_id": "job-2", "attempt": 2}, token_of=digest)
         s.write(_others(rows, 0, 2), metadata={"job_id": "others", "attempt": 2}, token_of=digest)
-    return s.resolve(And()).where("ext_job_id <> 'others'").groupBy("partition_key").agg(F.count("*").alias("files"))
+    return s.resolve(And()).groupBy("partition_key").agg(F.count("*").alias("files"))
 
 
 @_query(_OR + "SELECT pk AS partition_key, version, record_count, 'once' AS idempotency_token FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY batch) AS v FROM files WHERE batch IN (0, 1)) JOIN (SELECT pk, batch, version FROM fv) USING (pk, batch) WHERE batch = 1 AND pk = (SELECT min(pk) FROM o WHERE batch = 1)")
@@ -206,7 +207,7 @@ def q23_ext_filter(spark, sf_dir):
     return found.select("partition_key", "version", F.col("ext_job_id").alias("job_id"), F.col("ext_attempt").alias("attempt"))
 
 
-@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 4 IN (0, 1)")
+@_query("SELECT o_orderkey, o_custkey FROM orders")
 def q24_rollback_invisible(spark, sf_dir):
     s, rows = _own(spark, sf_dir, "or_raw_rollback")
     try:
@@ -218,7 +219,7 @@ def q24_rollback_invisible(spark, sf_dir):
     with s.transaction():
         s.write(rows.where("o_orderkey % 4 = 1"), token="kept")
         s.write(_others(rows, 0, 1), token="others")
-    return s.read(And()).where("o_orderkey % 4 IN (0, 1)").select("o_orderkey", "o_custkey")
+    return s.read(And()).select("o_orderkey", "o_custkey")
 
 
 @_query(_OR + "SELECT feed_seq, pk AS partition_key, version FROM fv WHERE feed_seq >= 5 AND feed_seq < 40")
@@ -241,16 +242,17 @@ def q28_offset_latest(spark, sf_dir):
     return store(spark, sf_dir, "or_raw").offset_latest().withColumnRenamed("offset", "feed_offset")
 
 
-@_query("SELECT CAST(1 AS BIGINT) AS at_run, CAST(0 AS BIGINT) AS after_run")
+@_query(_OR + "SELECT CAST(n > 0 AS BIGINT) AS at_first, CAST(CASE WHEN n > 100 THEN 101 ELSE 0 END AS BIGINT) AS between_runs, CAST(CASE WHEN n > 100 THEN 101 ELSE 0 END AS BIGINT) AS at_second, CAST(0 AS BIGINT) AS after_runs FROM (SELECT count(*) AS n FROM files)")
 def q29_offset_at(spark, sf_dir):
-    s = store(spark, sf_dir, "or_raw")
-    first, later = (s.offset_at(SEQUENCED + timedelta(seconds=n)).first()[0] for n in (0, 1))
-    return spark.createDataFrame([(first, later)], "at_run long, after_run long")
+    s = store(spark, sf_dir, "or_raw_at", sequenced=100)
+    s.drain(10_000, SEQUENCED + timedelta(hours=1))
+    found = [s.offset_at(SEQUENCED + timedelta(minutes=n)).first()[0] for n in (0, 1, 60, 61)]
+    return spark.createDataFrame([found], "at_first long, between_runs long, at_second long, after_runs long")
 
 
-@_query(_OR + "SELECT feed_seq, pk AS partition_key FROM fv WHERE batch = 0 AND feed_seq <= 20")
+@_query(_OR + "SELECT feed_seq, pk AS partition_key FROM fv WHERE feed_seq <= 20")
 def q30_poll_unsequenced_hidden(spark, sf_dir):
-    return store(spark, sf_dir, "or_raw_hidden", sequenced=20).poll(1, 10_000)[0].where("ext_job_id = 'job-0'").select("feed_seq", "partition_key")
+    return store(spark, sf_dir, "or_raw_hidden", sequenced=20).poll(1, 10_000)[0].select("feed_seq", "partition_key")
 
 
 @_query(_OR + "SELECT feed_seq, pk AS partition_key, version, record_count FROM fv")
@@ -260,7 +262,7 @@ def q31_sequencer_assign(spark, sf_dir):
 
 @_query(_OR + "SELECT feed_seq AS feed_offset, o_orderkey, o_custkey FROM o JOIN fv USING (pk, batch)")
 def q32_stream_drain(spark, sf_dir):
-    s, out = store(spark, sf_dir, "or_raw"), tempfile.mkdtemp(prefix="feedlake-drain-")
+    s, out = store(spark, sf_dir, "or_raw"), folder(spark, sf_dir, "drain")
 
     def handle(rows: DataFrame, number: int) -> None:
         rows.select(F.col("_offset").alias("feed_offset"), "o_orderkey", "o_custkey").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
@@ -293,16 +295,24 @@ def q36_mv_semi_read(spark, sf_dir):
     return _events(rows.join(buyers, rows["_entity"] == F.col("buyer"), "left_semi"))
 
 
-@_query("SELECT CAST(2 AS BIGINT) AS reclaimed, CAST(0 AS BIGINT) AS pending_left, (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0) AS n")
+def _intend(s: Store, name: str, at) -> None:
+    """A write that has started and not finished: its marker, and a file."""
+    path = f"{s.data}/{name}.parquet"
+    s.fs.create(path, "x")
+    s.fs.create(s._marker(path), json.dumps({"s3_key": path, "intended_at": at.isoformat()}))
+
+
+@_query("SELECT count(DISTINCT o_orderpriority) AS reclaimed, count(DISTINCT o_orderstatus) AS pending_left, count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m'), o_orderpriority, o_orderkey % 4 FROM orders)) + count(DISTINCT o_orderstatus) AS files_on_disk FROM orders")
 def q37_gc_reclaims(spark, sf_dir):
-    s, _ = _own(spark, sf_dir, "or_raw_gc", BATCHES)
-    for n in range(2):
-        path = f"{s.data}/orphan-{n}.parquet"
-        s.fs.create(path, "x")
-        s.fs.create(s._marker(path), json.dumps({"s3_key": path, "intended_at": EPOCH.isoformat()}))
+    s, rows = _own(spark, sf_dir, "or_raw_gc", BATCHES)
+    for kind, column, at in (("orphan", "o_orderpriority", EPOCH), ("young", "o_orderstatus", EPOCH + timedelta(hours=24))):
+        for r in rows.select(column).distinct().where(f"{column} is not null").collect():
+            _intend(s, f"{kind}-{r[0]}", at)
     done = collect_garbage(s, EPOCH + timedelta(hours=25))
     left = pending_depth(s).first()[0]
-    return s.read(And()).where("o_orderkey % 4 = 0").agg(F.lit(done).cast("long").alias("reclaimed"), F.lit(left).cast("long").alias("pending_left"), F.count("*").alias("n"))
+    on_disk = sum(p.endswith(".parquet") for f in ("data", "_staging") for p, _, _ in s.fs.walk(f"{s.root}/{f}"))
+    numbers = {"reclaimed": done, "pending_left": left}
+    return s.read(And()).agg(*(F.lit(v).cast("long").alias(k) for k, v in numbers.items()), F.count("*").alias("n"), F.lit(on_disk).cast("long").alias("files_on_disk"))
 
 
 @_query(_OR + "SELECT pk AS partition_key, version, record_count, CAST(NULL AS BIGINT) AS feed_seq FROM fv")
@@ -315,12 +325,11 @@ def q38_rebuild_files(spark, sf_dir):
     return found.files().select("partition_key", "version", "record_count", "feed_seq")
 
 
-@_query("SELECT CAST(3 AS BIGINT) AS depth")
+@_query("SELECT count(DISTINCT o_orderpriority) AS depth FROM orders")
 def q39_pending_depth(spark, sf_dir):
-    s, _ = _own(spark, sf_dir, "or_raw_pending")
-    for n in range(3):
-        path = f"{s.data}/intended-{n}.parquet"
-        s.fs.create(s._marker(path), json.dumps({"s3_key": path, "intended_at": EPOCH.isoformat()}))
+    s, rows = _own(spark, sf_dir, "or_raw_pending", BATCHES)
+    for r in rows.select("o_orderpriority").distinct().where("o_orderpriority is not null").collect():
+        _intend(s, f"intended-{r[0]}", EPOCH)
     return pending_depth(s)
 
 
@@ -353,3 +362,132 @@ def _compacted(spark: SparkSession, sf_dir: str, s: Store) -> Store:
         out.write(s.compact_rows(And()), order_by=[F.col("event_id")])
         _COPIES[key] = out
     return _COPIES[key]
+
+
+# -- iterators, and what else runs in the driver --------------------------------------------------
+
+_ORDER = "o_orderkey long, o_custkey long"
+
+
+@_query(_OR + "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY pk, o_custkey ORDER BY o_orderdate DESC, batch DESC, o_orderkey DESC) AS n FROM o) WHERE n = 1 AND order_month = '1996-03'")
+def q43_read_iter(spark, sf_dir):
+    found = store(spark, sf_dir, "or").read_iter(Eq("order_month", "1996-03"))
+    return spark.createDataFrame([(r["o_orderkey"], r["o_custkey"]) for r in found], _ORDER)
+
+
+@_query(_OR + "SELECT pk AS partition_key, count(DISTINCT batch) AS version, count(*) AS n_records, sum(o_orderkey) AS keys FROM o GROUP BY pk")
+def q44_read_partition_iter(spark, sf_dir):
+    found = store(spark, sf_dir, "or_raw").read_partition_iter(And())
+    return spark.createDataFrame([(r["partition_key"], r["version"], len(r["records"]), sum(x["o_orderkey"] for x in r["records"])) for r in found], "partition_key string, version long, n_records long, keys long").withColumn("keys", F.col("keys").cast("decimal(38,0)"))
+
+
+_SUMMARY = "partition_key string, version long, files long, n_records long"
+
+
+def _summaries(spark, found) -> DataFrame:
+    return spark.createDataFrame([(key, version, len(refs), sum(r["record_count"] for r in refs)) for key, version, refs, _ in found], _SUMMARY)
+
+
+@_query(_OR + "SELECT pk AS partition_key, max(version) AS version, count(*) AS files, CAST(sum(record_count) AS BIGINT) AS n_records FROM fv WHERE batch IN (1, 2) GROUP BY pk")
+def q45_partition_range_iter(spark, sf_dir):
+    return _summaries(spark, store(spark, sf_dir, "or_raw").read_partition_range_iter(EPOCH + timedelta(hours=1), EPOCH + timedelta(hours=3)))
+
+
+@_query(_OR + "SELECT pk AS partition_key, max(version) AS version, count(*) AS files, CAST(sum(record_count) AS BIGINT) AS n_records FROM fv WHERE record_count > 10 GROUP BY pk")
+def q46_partition_refs_iter(spark, sf_dir):
+    s = store(spark, sf_dir, "or_raw")
+    return _summaries(spark, s.read_partition_refs_iter(s.resolve(And()).where("record_count > 10")))
+
+
+def _feed(spark, refs) -> DataFrame:
+    return spark.createDataFrame([(r["feed_seq"], r["partition_key"], r["version"]) for r in refs], "feed_seq long, partition_key string, version long")
+
+
+@_query(_OR + "SELECT feed_seq, pk AS partition_key, version FROM fv")
+def q47_poll_iter(spark, sf_dir):
+    return _feed(spark, store(spark, sf_dir, "or_raw").poll_iter(1, page=500))
+
+
+@_query(_OR + "SELECT o_orderkey, o_custkey FROM o JOIN fv USING (pk, batch) WHERE feed_seq < 20")
+def q48_poll_records_iter(spark, sf_dir):
+    found = store(spark, sf_dir, "or_raw").poll_records_iter(1, 20)
+    return spark.createDataFrame([(r["o_orderkey"], r["o_custkey"]) for r in found], _ORDER)
+
+
+@_query(_OR + "SELECT feed_seq, pk AS partition_key, version FROM fv WHERE feed_seq >= 3")
+def q49_tail(spark, sf_dir):
+    s, seen = store(spark, sf_dir, "or_raw"), []
+    last = s.offset_latest().first()[0] - 1
+    for r in tail(s, 3, base=0.01, stop=lambda: bool(seen) and seen[-1]["feed_seq"] >= last or last < 3):
+        seen.append(r)
+    return _feed(spark, seen)
+
+
+@_query(_OR + "SELECT o_orderkey, o_custkey FROM o JOIN fv USING (pk, batch) WHERE feed_seq >= (SELECT max(feed_seq) - 2 FROM fv)")
+def q50_tail_records(spark, sf_dir):
+    s, seen = store(spark, sf_dir, "or_raw"), []
+    last = s.offset_latest().first()[0] - 1
+    want = s.poll(last - 2, last + 1)[0].agg(F.sum("record_count")).first()[0]
+    for r in tail_records(s, last - 2, base=0.01, stop=lambda: len(seen) >= want):
+        seen.append((r["o_orderkey"], r["o_custkey"]))
+    return spark.createDataFrame(seen, _ORDER)
+
+
+@_query(_OR + "SELECT feed_seq, pk AS partition_key, version FROM fv")
+def q51_run_sequencer(spark, sf_dir):
+    s, rounds = store(spark, sf_dir, "or_raw_loop", sequenced=None), iter([False, True])
+    run_sequencer(s, interval=0.01, batch=100, stop=lambda: next(rounds))
+    return s.files().select("feed_seq", "partition_key", "version")
+
+
+@_query(_OR + "SELECT max(batch) * 3600.0::DOUBLE - 86400 AS lag_seconds FROM o")
+def q52_feed_lag(spark, sf_dir):
+    return store(spark, sf_dir, "or_raw").feed_lag()
+
+
+@_query(_OR + "SELECT CAST(greatest(count(*) - 20, 0) AS BIGINT) AS files FROM files")
+def q53_unsequenced(spark, sf_dir):
+    return store(spark, sf_dir, "or_raw_hidden", sequenced=20).unsequenced()
+
+
+@_query(_OR + "SELECT pk AS partition_key, CAST(1 AS BIGINT) AS version, count(*) AS record_count FROM o GROUP BY pk")
+def q54_token_race(spark, sf_dir):
+    """Two writers of one token: the one that commits first stands, also against a transaction that began before."""
+    s, rows = _own(spark, sf_dir, "or_raw_race", 0)
+    other = Store(spark, s.config)
+    with s.transaction():
+        s.write(rows, token="race")
+        other.write(rows, token="race")
+    return s.resolve(And()).select("partition_key", "version", "record_count")
+
+
+@_query(_OR + "SELECT count(*) AS files, CAST(sum(record_count) AS BIGINT) AS records FROM files WHERE pk LIKE 'order_month=1996-%'")
+def q55_file_ref_stats(spark, sf_dir):
+    s = store(spark, sf_dir, "or_raw")
+    return s.file_ref_stats(s.resolve(Prefix("order_month", "1996-"))).select("files", "records")
+
+
+@_query("SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS pair FROM (SELECT DISTINCT user_id, event_type FROM events WHERE CAST(user_id AS VARCHAR) LIKE '1%')")
+def q56_lookup_values(spark, sf_dir):
+    found = store(spark, sf_dir, "ev").lookup_values("user_events", Prefix("user_id", "1"))
+    return spark.createDataFrame([(v,) for v in found], "pair string")
+
+
+@_query(_OR + "SELECT feed_seq AS feed_offset, o_orderkey, o_custkey FROM o JOIN fv USING (pk, batch)")
+def q57_stream_limited(spark, sf_dir):
+    """The feed as a stream whose steps read 400 files or 64 MB at most."""
+    s, out = store(spark, sf_dir, "or_raw"), folder(spark, sf_dir, "limited")
+
+    def handle(rows: DataFrame, number: int) -> None:
+        rows.select(F.col("_offset").alias("feed_offset"), "o_orderkey", "o_custkey").write.mode("overwrite").parquet(f"{out}/rows/run={number}")
+
+    limits = ReadOptions(decode_ahead_files=400, decode_ahead_bytes=1 << 26)
+    stream_records(s, handle, f"{out}/checkpoint", available_now=True, limits=limits, starting_at=SEQUENCED).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("run")
+
+
+@_query(_OR + "SELECT CAST(row_number() OVER (ORDER BY pk, o_custkey) AS BIGINT) AS place, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY pk, o_custkey ORDER BY o_orderdate DESC, batch DESC, o_orderkey DESC) AS n FROM (SELECT *, CAST(o_custkey AS VARCHAR) AS c FROM o)) WHERE n = 1 AND order_month = '1996-03'".replace("ORDER BY pk, o_custkey)", "ORDER BY pk, c)"))
+def q58_emission_order(spark, sf_dir):
+    s = store(spark, sf_dir, "or")
+    rows = s.ordered(s.read(Eq("order_month", "1996-03"))).toLocalIterator()
+    return spark.createDataFrame([(n, r["o_orderkey"]) for n, r in enumerate(rows, 1)], "place long, o_orderkey long")

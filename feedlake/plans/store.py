@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from datetime import datetime
+from itertools import groupby
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -192,16 +193,20 @@ class Store:
     def read_partition_iter(self, *filters: Filter, with_history: bool = False) -> Iterator[Row]:
         return self.read_partitions(*filters, with_history=with_history).orderBy("partition_key").toLocalIterator()
 
-    def read_partition_refs_iter(self, refs: DataFrame, with_history: bool = False) -> Iterator[tuple[str, int, list[Row], DataFrame]]:
-        """For each partition of resolved references, in key order: its key, version, references, and records in order, a lazy DataFrame.
+    def read_partition_refs_iter(self, refs: DataFrame, with_history: bool = False) -> Iterator[tuple[str, int, list[Row], Callable[[], DataFrame]]]:
+        """For each partition of resolved references, in key order: its key, version, references, and a function that gives its records, in order.
 
-        Only references come to the driver; a partition of any size stays a table until its reader wants it.
+        Only references come to the driver, in one job; a partition of any size stays a table until its reader wants it.
         """
-        for row in refs.groupBy("partition_key").agg(F.max("version").alias("version"), F.sort_array(F.collect_list("s3_key")).alias("keys")).orderBy("partition_key").toLocalIterator():
-            own = refs.where(F.col("partition_key") == row["partition_key"])
-            yield row["partition_key"], row["version"], own.orderBy("s3_key").collect(), self.ordered(self.read_refs(own, with_history))
+        for key, own in groupby(refs.orderBy("partition_key", "s3_key").toLocalIterator(), lambda r: r["partition_key"]):
+            rows = list(own)
 
-    def read_partition_range_iter(self, since: datetime | None = None, until: datetime | None = None, with_history: bool = False) -> Iterator[tuple[str, int, list[Row], DataFrame]]:
+            def records(rows: list[Row] = rows) -> DataFrame:
+                return self.ordered(self.read_refs(self.spark.createDataFrame(rows, refs.schema), with_history))
+
+            yield key, max(r["version"] for r in rows), rows, records
+
+    def read_partition_range_iter(self, since: datetime | None = None, until: datetime | None = None, with_history: bool = False) -> Iterator[tuple[str, int, list[Row], Callable[[], DataFrame]]]:
         """``read_partition_refs_iter`` of the files written in a time range."""
         return self.read_partition_refs_iter(self.resolve_range(since, until), with_history)
 
