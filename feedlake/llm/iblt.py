@@ -86,7 +86,11 @@ def level(hashes: Column) -> Column:
 
 
 def paragraphs(hashes: Column, level: Column) -> Column:
-    """Distinct digests of the paragraphs that sentences form on a level."""
+    """Distinct digests of the paragraphs that sentences form on a level.
+
+    Columns that ``level`` is made of must not share a name with an alias of the same select: within
+    the lambda the planner would take the alias.
+    """
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
     last = F.size(hashes) - 1
     start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("open"), F.lit(0).alias("n"))
@@ -99,11 +103,6 @@ def paragraphs(hashes: Column, level: Column) -> Column:
     return F.array_distinct(F.when(level == 0, hashes).otherwise(F.aggregate(hashes, start, step)["done"]))
 
 
-def digests(text: Column) -> Column:
-    """Distinct digests of a text's paragraphs on its own level; none for a blank text."""
-    return _let(sentences(text), lambda h: paragraphs(h, level(h)))
-
-
 def third(n: Column) -> Column:
     """Cells in a third of the sketch of ``n`` digests: a power of two, twice ``n`` or more."""
     return F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.greatest(F.lit(LEAST_THIRD), n * 2))).cast("int"))

@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import map_rows
 
@@ -383,12 +384,13 @@ def _opened(path: str):
 def read(spark: SparkSession, path: str, opened=_opened) -> DataFrame:
     """Records of WARC files: path and columns ``RECORDS``. Files are streamed where ``opened`` opens them, a batch of records at a time in memory."""
 
+    struct = T.StructType.fromDDL(f"path string, {RECORDS}")
+
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromDDL(f"path string, {RECORDS}"))
+        schema = to_arrow_schema(struct)
 
         def batch_of(file, held):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[file] * len(held), *_columns(held)], schema.types, strict=True)], names=schema.names)
@@ -407,7 +409,7 @@ def read(spark: SparkSession, path: str, opened=_opened) -> DataFrame:
                     yield batch_of(file, held)
 
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInArrow(run, f"path string, {RECORDS}")
+    return files.mapInArrow(run, struct)
 
 
 def file_contents(records: Iterable[Record], compress: bool = True) -> bytes:

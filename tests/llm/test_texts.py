@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlake.llm import iblt, langid, packing, pii, quality, simhash, suffixes, warc
+from feedlake.llm.common import durable
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -219,6 +220,7 @@ def test_fingerprints(spark):
     edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(plain, plain[1:] + plain[:1], strict=True)]
     pairs = [(n, t, e, f) for n, (t, e, f) in enumerate(zip(plain, edited, plain[1:] + plain[:1], strict=True))]
     cut = spark.createDataFrame(pairs, "n int, a string, b string, c string").select("n", *(iblt.sentences(F.col(x)).alias(x) for x in "abc"))
+    cut = durable(cut, "test-sentences")
     high = {x: F.greatest(iblt.level(F.col("a")), iblt.level(F.col(x))) for x in "bc"}
     sets = cut.select("n", *(iblt.paragraphs(F.col(x), high[y]).alias(f"{x}{y}") for x, y in ("ab", "bb", "ac", "cc")))
     shown = {r["n"]: (r["a"], r["b"]) for r in cut.select("n", iblt.paragraphs(F.col("a"), iblt.level(F.col("a"))).alias("a"), iblt.paragraphs(F.col("b"), iblt.level(F.col("b"))).alias("b")).collect()}
@@ -289,11 +291,11 @@ def test_paragraphs_of_one_line(spark):
     many = "".join(chr(0x4E00 + int(n)) for n in np.random.default_rng(41).integers(0, 3000, 400))
     whole = [s.join(said) for s in ("s. ", "é! ", "9? ", "。", "؟ ", "। ", ". ")] + [words, many]
     rows = spark.createDataFrame([(n, t, t[: 2 * len(t) // 3] + "q" * 9) for n, t in enumerate(whole)], "n int, a string, b string")
-    rows = rows.select("n", *(iblt.sentences(F.col(x)).alias(x) for x in "ab"))
+    rows = durable(rows.select("n", *(iblt.sentences(F.col(x)).alias(x) for x in "ab")), "test-sentences")
     high = F.greatest(iblt.level(F.col("a")), iblt.level(F.col("b")))
-    for r in rows.select("n", *(iblt.paragraphs(F.col(x), high).alias(x) for x in "ab")).collect():
-        assert len(r["a"]) >= 10
-        assert len(set(r["b"]) - set(r["a"])) <= 2 and len(set(r["a"]) & set(r["b"])) >= 5, r["n"]
+    for r in rows.select("n", *(iblt.paragraphs(F.col(x), high).alias(f"p{x}") for x in "ab")).collect():
+        a, b = set(r["pa"]), set(r["pb"])
+        assert len(a) >= 10 and len(b - a) <= 2 and len(a & b) >= 5, r["n"]
 
 
 # -- suffixes -------------------------------------------------------------------------------------
