@@ -1,17 +1,20 @@
+import time
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlake.config import ExtensionColumn, MaterializedView, StoreConfig
-from feedlake.errors import ForeignFile, InvalidConfig, LockNotInTransaction, LockTimeout, VersionConflict
+from feedlake.config import ExtensionColumn, MaterializedView, ReadOptions, StoreConfig
+from feedlake.errors import ForeignFile, InvalidConfig, LockLost, LockNotInTransaction, LockTimeout, MetadataTooLarge, NoSession, SchemaMismatch, VersionConflict
 from feedlake.functions import keys, values
-from feedlake.operators.filters import And, Between, Eq, In, Or
-from feedlake.plans.admin import pending_depth, rebuild
+from feedlake.operators.filters import And, Between, Eq, In, Or, Prefix
+from feedlake.plans.admin import collect_garbage, pending_depth, rebuild, sweep
 from feedlake.plans.lock import PartitionLock
 from feedlake.plans.store import Store
+from feedlake.sources.catalog import ArrowFiles, Log, files_for
 from feedlake.streaming.feed import stream_records
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in zip(("customer", "sku", "period", "cost", "version"), (T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.LongType()), strict=True)])
@@ -87,6 +90,7 @@ def test_transaction_and_locks(spark, store):
         store.write(one)
         raise KeyError
     assert store.files().count() == 0 and pending_depth(store).first()[0] == 1
+    assert not [p for p, _, _ in store.fs.walk(f"{store.root}/_staging")]
     with store.transaction():
         store.lock_partition("period=p/customer=a", 1)
         other = PartitionLock(store.fs, store.root, "period=p/customer=a")
@@ -143,3 +147,137 @@ def test_filters_config_and_keys(spark):
         with pytest.raises(ValueError):
             values.from_text(kind, text)
     assert values.from_text("NUMERIC", values.to_text("NUMERIC", values.check("NUMERIC", "1.50"))) == values.check("NUMERIC", 1.5)
+
+
+def test_a_lock_has_one_holder(store):
+    key = "period=p/customer=a"
+    a, b, c = (PartitionLock(store.fs, store.root, key, lease) for lease in (0.15, 60, 60))
+    a.acquire(1)
+    a._stop.set()  # as if its process had died
+    time.sleep(0.2)
+    b.acquire(1)
+    assert b.held() and not a.held() and not a.renew()
+    a.release()
+    with pytest.raises(LockTimeout):
+        c.acquire(0.1)
+    b.release()
+    c.acquire(0.1)
+    c.release()
+
+
+def test_a_held_lock_is_renewed(store):
+    a, b = (PartitionLock(store.fs, store.root, "k", 0.3) for _ in range(2))
+    a.acquire(1)
+    with pytest.raises(LockTimeout):
+        b.acquire(0.9)
+    assert a.held()
+    a.release()
+
+
+def test_lapsed_waiters_do_not_both_win(store):
+    key = "period=p/customer=a"
+    for _ in range(5):
+        dead = PartitionLock(store.fs, store.root, key, 0.01)
+        dead.acquire(1)
+        dead._stop.set()
+        time.sleep(0.05)
+        locks = [PartitionLock(store.fs, store.root, key) for _ in range(6)]
+
+        def attempt(lock):
+            try:
+                lock.acquire(0.05)
+                return lock
+            except LockTimeout:
+                return None
+
+        with ThreadPoolExecutor(6) as pool:
+            won = [x for x in pool.map(attempt, locks) if x]
+        assert len(won) == 1
+        won[0].release()
+
+
+def test_a_lost_lock_fails_its_transaction(spark, store):
+    with pytest.raises(LockLost), store.transaction():
+        store.lock_partition("period=p/customer=a", 1)
+        store.write(rows(spark, ("a", "x", "p", 1.0, 1)))
+        other = PartitionLock(store.fs, store.root, "period=p/customer=a")
+        other._write(store._locks[0].generation + 1, 0, time.time() + 60)
+    assert store.files().count() == 0
+
+
+def test_retries_leave_nothing_behind(spark, store):
+    def on_disk():
+        return sorted(p for f in ("data", "_staging") for p, _, _ in store.fs.walk(f"{store.root}/{f}"))
+
+    both = rows(spark, ("a", "x", "p", 1.0, 1), ("b", "x", "p", 1.0, 1))
+    store.write(rows(spark, ("a", "x", "p", 1.0, 1)), token="t")
+    first = store.write(both, token="t")
+    before = on_disk()
+    assert len(first) == 2 and len(before) == 2
+    assert [f["file_id"] for f in store.write(both, token="t")] == [f["file_id"] for f in first]
+    assert on_disk() == before and pending_depth(store).first()[0] == 0
+    with pytest.raises(KeyError), store.transaction():
+        store.write(both)
+        raise KeyError
+    later = datetime.now(UTC) + timedelta(days=3)
+    assert collect_garbage(store, later) == 2 and sweep(store, later) >= 1 and on_disk() == before
+    assert sweep(store, later) == 0 and [r["sku"] for r in store.lookup("skus").collect()] == ["x", "x"]
+
+
+def test_transactions_rebase_and_detach(spark, store):
+    one = rows(spark, ("a", "x", "p", 1.0, 1))
+    other = Store(spark, store.config)
+    with store.transaction():
+        store.write(one)
+        other.write(one)
+        with store.detached():
+            store.write(one, metadata={"job_id": "kept"})
+    assert sorted(r["version"] for r in store.resolve(And()).collect()) == [1, 2, 3]
+    with pytest.raises(VersionConflict), store.transaction():
+        store.write(one, expected_version=3)
+        other.write(one)
+    assert store.run_in_transaction(lambda s: len(s.write(one))) == 1
+    assert store.resolve(And()).count() == 5
+
+
+def test_prefix_with_a_backslash(spark):
+    values_ = ["ab", "a\\b", "a%b", "axb", "a\\"]
+    table = spark.createDataFrame([(v,) for v in values_], "p string")
+
+    def found(prefix):
+        return [r["p"] for r in table.where(Prefix("p", prefix).to_column(F.col)).collect()]
+
+    assert found("a\\b") == ["ab"] and found("a\\%") == ["a%b"] and found("a\\\\") == ["a\\b", "a\\"] and found("a_b") == ["a\\b", "a%b", "axb"]
+    assert found("a\\") == []  # it makes the sign behind it plain
+
+
+def test_limits_and_remote_logs(spark, store, tmp_path):
+    for n in range(5):
+        store.write(rows(spark, ("a", "x", "p", float(n), n)))
+    store.drain()
+    assert [len(x) for x in store.slices(store.poll(1, 6)[0], ReadOptions(decode_ahead_files=2))] == [2, 2, 1]
+    assert [len(x) for x in store.slices(store.poll(1, 6)[0], ReadOptions(decode_ahead_bytes=1))] == [1] * 5
+    seen = []
+    limits = ReadOptions(decode_ahead_files=2, decode_workers=3)
+    stream_records(store, lambda df, n: seen.append((n, df.count())), str(tmp_path / "c"), available_now=True, limits=limits).awaitTermination()
+    assert seen == [(1, 2), (3, 2), (5, 1)]
+    root = f"file://{store.root}"
+    assert Log(ArrowFiles(root), root).refresh().last_seq == 5
+    with pytest.raises(InvalidConfig, match="atomic"):
+        files_for(spark, "s3a://bucket/x")
+    with pytest.raises(InvalidConfig):
+        ReadOptions(decode_workers=-1)
+
+
+def test_layout(spark, store):
+    store.init()
+    store.validate()
+    with pytest.raises(SchemaMismatch, match="extension 'more'"):
+        Store(spark, replace(store.config, extensions=[*store.config.extensions, ExtensionColumn("more", "INT")])).init()
+    with pytest.raises(MetadataTooLarge):
+        store.write(rows(spark, ("a", "x", "p", 1.0, 1)), metadata={"job_id": "j" * 3000})
+    with pytest.raises(NoSession):
+        Store(None, store.config)
+    assert keys.fnv32a("") == 0x811C9DC5 and keys.fnv32a("a") == 0xE40C292C and keys.fnv64a("a") == 0xAF63DC4C8601EC8C
+    store.drop()
+    assert not store.fs.exists(store.root)
