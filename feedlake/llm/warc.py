@@ -30,6 +30,10 @@ _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-records")
 # Elements that show no text, and elements that begin a line.
 HIDDEN = frozenset("script style noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th title tr ul".split())
+# Text up to a tag, then its slash, name and attributes, where nothing in it looks like another tag: no step of this backtracks
+# and a failure looks no further than the next <, so pages of any kind take linear time.
+_PLAIN_TAG = re.compile(r"([^<]*+)<(/?)([a-zA-Z][^\s/<>=]*+)(?=[\s/>])([^<>=]*+(?:=(?:\s*+\"[^\"<]*+\"|\s*+'[^'<]*+'|(?!\s*+[\"']))[^<>=]*+)*+)>")
+SPECIAL = HIDDEN | {"head", "body", "title", "a", "html"}  # elements of which more than their tags matter
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _TAG_PART = re.compile(r"=\s*([\"'])|>")
 _VALUE = re.compile(r"(?<![\w-])(href|lang)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
@@ -225,34 +229,47 @@ def scan(page: str) -> Page:
     A tag, comment or hidden element that is never closed takes the rest of the page with it.
     """
     parts, links, title, language, in_head, at = [], [], None, None, False, 0
-    while (lt := page.find("<", at)) >= 0:
-        if not in_head:
-            parts.append(page[at:lt].replace("\n", " "))
-        if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = end + 3 if end >= 0 else len(page)
-            parts.append(" ")
-            continue
-        m = _NAME.match(page, lt)
-        if not m:
-            if page[lt + 1 : lt + 2] in ("!", "?", "/"):
-                end = page.find(">", lt)
-                at = end + 1 if end >= 0 else len(page)
-            else:
-                parts.append("" if in_head else "<")
-                at = lt + 1
+    while True:
+        if m := _PLAIN_TAG.match(page, at):
+            before, slash, name, _ = m.groups()
+            inner, at = m.start(4), m.end()
+            if before and not in_head:
+                parts.append(before.replace("\n", " "))
+        else:
+            lt = page.find("<", at)
+            if lt < 0:
+                break
+            if not in_head:
+                parts.append(page[at:lt].replace("\n", " "))
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else len(page)
+                parts.append(" ")
+                continue
+            m = _NAME.match(page, lt)
+            if not m:
+                if page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                    end = page.find(">", lt)
+                    at = end + 1 if end >= 0 else len(page)
+                else:
+                    parts.append("" if in_head else "<")
+                    at = lt + 1
+                continue
+            slash, name, inner = page[lt + 1] == "/", m[1], m.end()
+            at = _tag_end(page, inner)
+        name = name.lower()
+        if name in BLOCKS and parts and parts[-1] != "\n":
+            parts.append("\n")
+        if name not in SPECIAL:
             continue
-        name, closing, at = m[1].lower(), page[lt + 1] == "/", _tag_end(page, m.end())
         if name == "head":
-            in_head = not closing
+            in_head = not slash
         elif name == "body":
             in_head = False
-        if name in BLOCKS:
-            parts.append("\n")
-        if closing:
+        if slash:
             continue
         if name in ("a", "html"):
-            for key, *values in _VALUE.findall(page, m.end(), at):
+            for key, *values in _VALUE.findall(page, inner, at):
                 value = next((v for v in values if v), "")
                 if name == "a" and key.lower() == "href":
                     links.append(_line(value))
@@ -272,8 +289,8 @@ def scan(page: str) -> Page:
     if not in_head:
         parts.append(page[at:].replace("\n", " "))
     text = "".join(parts)
-    lines = (" ".join(raw.split()) for raw in (entities.unescape(text) if "&" in text else text).split("\n"))
-    return Page("\n".join(line for line in lines if line), title, language, links)
+    lines = [" ".join(raw.split()) for raw in (entities.unescape(text) if "&" in text else text).split("\n")]
+    return Page("\n".join(filter(None, lines)), title, language, links)
 
 
 def plain_text(page: str) -> str:
@@ -346,6 +363,17 @@ def responses(pages: DataFrame) -> DataFrame:
 DERIVED = f"record_type string, record_id string, refers_to string, target_uri string, record_date string, source_digest string, block_digest string, content_type string, content_length long, fields {FIELDS}, content string"
 
 
+def _derived(sources: Iterable[Record]) -> list:
+    """Columns ``DERIVED`` of the derivatives of each source, after the number of the source that each row is from."""
+    rows = []
+    for n, source in enumerate(sources):
+        for r in derivatives(source):
+            of = dict(r.fields)
+            listed = [{"name": k, "value": v} for k, v in r.fields]
+            rows.append((n, of["WARC-Type"], of["WARC-Record-ID"], of["WARC-Refers-To"], of["WARC-Target-URI"], of["WARC-Date"], source.get("WARC-Payload-Digest"), of["WARC-Block-Digest"], of["Content-Type"], len(r.block), listed, r.block.decode("utf-8", "replace")))
+    return list(zip(*rows, strict=True)) or [()] * 12
+
+
 def derive(found: DataFrame) -> DataFrame:
     """The derivatives of every response record in ``found``, which has columns fields and block; its others pass through, but for names of ``DERIVED``.
 
@@ -354,21 +382,18 @@ def derive(found: DataFrame) -> DataFrame:
     """
 
     def make(fields, blocks):
-        rows = []
-        for n, (named, block) in enumerate(zip(fields, blocks, strict=True)):
-            source = Record([(f["name"], f["value"]) for f in named or ()], block or b"")
-            for r in derivatives(source):
-                of = dict(r.fields)
-                listed = [{"name": k, "value": v} for k, v in r.fields]
-                rows.append((n, of["WARC-Type"], of["WARC-Record-ID"], of["WARC-Refers-To"], of["WARC-Target-URI"], of["WARC-Date"], source.get("WARC-Payload-Digest"), of["WARC-Block-Digest"], of["Content-Type"], len(r.block), listed, r.block.decode("utf-8", "replace")))
-        return list(zip(*rows, strict=True)) or [()] * 12
+        return _derived(Record([(f["name"], f["value"]) for f in named or ()], block or b"") for named, block in zip(fields, blocks, strict=True))
 
     return map_rows(found, ["fields", "block"], f"_from long, {DERIVED}", make, drop=["block"])
 
 
 def derive_pages(pages: DataFrame) -> DataFrame:
-    """page_id and the fields of both records derived from every page's response record."""
-    return derive(responses(pages.select("page_id", "url", "html")))
+    """page_id and the fields of both records derived from every page's response record, which is made in the same pass."""
+
+    def make(ids, urls, bodies):
+        return _derived(response(*row) for row in zip(ids, urls, bodies, strict=True))
+
+    return map_rows(pages.select("page_id", "url", "html"), ["page_id", "url", "html"], f"_from long, {DERIVED}", make, drop=["url", "html"])
 
 
 def _opened(path: str):
