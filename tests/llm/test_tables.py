@@ -101,3 +101,31 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch):
     sets = [similar.shingle_set(t) for t in texts]
     label = simhash._forest(len(texts), *np.nonzero([[similar.jaccard(a, b) >= 0.8 for b in sets] for a in sets]))
     assert {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()} == dict(enumerate(label.tolist()))
+
+
+def test_forest_holds_every_pair_within_one_bit_of_a_tree(spark, monkeypatch):
+    rng, sigs, words = np.random.default_rng(3), [], similar.TREES * similar.BITS // 64
+    for n in range(120):  # groups of ten around a centre; some bits of each turned
+        if n % 10 == 0:
+            centre = rng.integers(0, 2, 64 * (words + 1))
+        turned = centre ^ (rng.random(len(centre)) < 0.14)
+        sigs.append(np.packbits(turned.astype(bool), bitorder="little").view(np.int64))
+    rows = [(n, int(s[0]), s[1:].tolist(), n // 2) for n, s in enumerate(sigs)]
+    nodes = spark.createDataFrame(rows, "key long, fp long, sig array<long>, component long")
+    fp, trees = np.array([s[0] for s in sigs]).view(np.uint64), np.array([s[1:] for s in sigs]).view(np.uint16)
+    near = (np.bitwise_count(trees[:, None] ^ trees[None]) <= 1).any(axis=2) & (np.bitwise_count(fp[:, None] ^ fp[None]) <= similar.RADIUS)
+    want = {(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a > b and a // 2 != b // 2}
+    assert len(want) > 100
+    for most in (1024, 2):  # heavy shards are dealt in chunks
+        monkeypatch.setattr(similar, "MOST_IN_UNIT", most)
+        got = {(r["a"], r["b"]) for r in similar.crossing(nodes, similar.heavy_shards(nodes)).collect()}
+        assert got == want
+
+
+def test_small_sets_are_compared_exactly(spark):
+    rng, texts = np.random.default_rng(4), []
+    for _ in range(1000):  # eight words have four shingles, nine have five
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()} == {n: n - n % 2 for n in range(2000)}
