@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm import langid, mixing, packing, pii, simhash, similar
-from feedlake.llm.common import cleared, drop_durable, durable, named
+from feedlake.llm.common import bounded_batches, cleared, drop_durable, durable, named
 
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,6 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and letterless texts are rejected; copies of a row stay or go together. Where no text
     has a label nothing can be learnt, and every document stays.
     """
+    bounded_batches(spark)
     model = langid.fit(docs, F.col("doc_id").isNotNull())
     if not model.languages:
         return docs
@@ -48,22 +49,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are all alike. Of rows with that one id, the first by text and other columns
     stays; rows without an id all stay.
     """
+    bounded_batches(spark)
     return _like(docs, simhash.keep_one(_folded(docs), similar.near_duplicates))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and n_chars counted anew; a null text stays null and counts 0."""
+    bounded_batches(spark)
     found = pii.find(_folded(docs), redacted=True).withColumn("text", F.col("redacted"))
     return _like(docs, found.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, by output shard and in its shuffled order; texts without words are never taken."""
+    bounded_batches(spark)
     return _like(docs, mixing.mix(_folded(docs)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, repeated ones too, placed in sequences of 1024 tokens; a null or empty text is its end id alone."""
+    bounded_batches(spark)
     packed = packing.pack(docs.select("doc_id", "source", "text"), packing.default_tokenizer())
     return packed.select("doc_id", "source", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

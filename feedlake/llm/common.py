@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -139,10 +140,31 @@ def map_rows(docs: DataFrame, inputs: Sequence[str], outputs: str, make: Callabl
             arrays = [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([rows, *arrays], names=["row", *(f"out{n}" for n in range(len(made)))])
 
-    out = packed.mapInArrow(run, schema)
+    out = packed.mapInArrow(lambda batches: released(run(batches)), schema)
     return out.select(*(F.col("row")[f"c{n}"].alias(c) for n, c in enumerate(rest)), *(F.col(f"out{n}").alias(f.name) for n, f in enumerate(made)))
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches end at ``BATCH_BYTES``, not at 64 MB: a task holds several, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
+def released(batches: Iterator) -> Iterator:
+    """``batches``; at their end the memory that this worker has freed goes back to the system, as a worker idles on between stages."""
+    import pyarrow as pa
+
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+        if trim:
+            trim(0)
+
+
 _HELD: dict[object, object] = {}
 
 
@@ -158,6 +180,11 @@ _SEGMENT = 8_192
 _BLOCK = 65_536
 
 
+def forget() -> None:
+    """Drop what ``held`` keeps in this worker; called by operators that hold no table, so that an earlier one's goes."""
+    _HELD.clear()
+
+
 class WordTable:
     """Rows of numbers by word, made once per worker and summed over each text's words.
 

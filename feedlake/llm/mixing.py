@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_unit, named
+from .common import hash_unit, named, released
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 2.0
@@ -260,7 +260,7 @@ def _decided(docs: DataFrame, row: Column | None, share: float, weights: tuple[f
         if pending:
             yield from flush(pending)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 _COPIES = "CASE WHEN size > 0 THEN full + CAST(extra AS INT) ELSE 0 END"

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cleared, durable
+from .common import cleared, durable, forget, released
 from .components import components
 from .simhash import assign, majority, shingle_hashes, tree_pairs
 
@@ -78,6 +78,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch, rows = whole.slice(k, 512), []
@@ -89,7 +90,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *arrays], names=["doc_id", "text", "key", "fp", "sig", "less"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, text string, key long, fp long, sig array<long>, less array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: released(run(batches)), f"doc_id {id_type}, text string, key long, fp long, sig array<long>, less array<long>")
 
 
 def _home(tree: int) -> Column:
@@ -197,7 +198,7 @@ def _crossing(nodes: DataFrame, heavy: DataFrame, trees: range, radius: int) ->
         if len(held[0]):
             yield from pairs(held)
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: released(run(batches)), "a long, b long").distinct()
 
 
 def crossing(nodes: DataFrame, heavy: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -231,7 +232,7 @@ def similar(pairs: DataFrame, found: DataFrame, least: float = LEAST, shingle: i
                 sides = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
                 yield batch.select(["a", "b"]).filter(pa.array([jaccard(shingle_set(x, shingle), shingle_set(y, shingle)) >= least for x, y in sides], pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: released(run(batches)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:

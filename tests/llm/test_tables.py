@@ -1,9 +1,10 @@
 """Operators on tables, and the pipeline, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from feedlake.llm import ann, mixing, simhash, similar
+from feedlake.llm import ann, common, mixing, simhash, similar
 
 
 def test_nearest(spark):
@@ -129,3 +130,22 @@ def test_small_sets_are_compared_exactly(spark):
         texts += [" ".join(words[:8]), " ".join(words)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()} == {n: n - n % 2 for n in range(2000)}
+
+
+def test_stages_bound_arrow_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('word ', 100000) AS text", "'en' AS lang", "'s' AS source", "0 AS n_chars").coalesce(1)
+    corpus_pipeline.mix_sources(spark, docs, "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    assert max(r["n"] for r in docs.select("text").mapInArrow(sizes, "n long").collect()) <= common.BATCH_BYTES + 10**6
+
+
+def test_workers_drop_what_they_held():
+    assert common.held("one", lambda: 1) == common.held("one", lambda: 2) == 1
+    common.forget()
+    assert common.held("one", lambda: 2) == 2 and list(common.released(iter([1, 2]))) == [1, 2]
+    common.forget()
