@@ -180,6 +180,17 @@ def _take_run(block: np.ndarray, sizes: np.ndarray, quota: int, per_shard: list[
     return extra, shards
 
 
+def _local(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """``rows`` as a table, through Arrow: from a plain list Spark would read them in Python, in workers of a second pool that idle on for a minute."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = T.StructType.fromDDL(ddl)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
+
+
 def _decided(docs: DataFrame, row: Column | None, share: float, weights: tuple[float, ...], most_repeats: float, seed: int, shards: int) -> DataFrame:
     """Every row with its size, target, ``full`` and ``extra`` copies and ``layers`` of shards, and ``row`` as given."""
     spark = docs.sparkSession
@@ -200,7 +211,7 @@ def _decided(docs: DataFrame, row: Column | None, share: float, weights: tuple[f
     layers = max((p[5] + 1 for p in plan), default=1)
     dealt = [split_sources([p[4] * RUN_BLOCKS for p in plan], shards, seed, "shards", layer) for layer in range(layers)]
     rows = [(*p, [[int(q[k]) for q in layer] for layer in dealt[: p[5] + 1]]) for k, p in enumerate(plan)]
-    told = spark.createDataFrame(rows, "number int, p_source string, source_size long, target double, runs int, full int, quota long, per_shard array<array<int>>")
+    told = _local(spark, rows, "number int, p_source string, source_size long, target double, runs int, full int, quota long, per_shard array<array<int>>")
     small = len(rows) <= 10_000
 
     def known(rows: DataFrame, *wanted: str) -> DataFrame:

@@ -14,13 +14,14 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
+from functools import cached_property
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, held
+from .common import durable, forget, held, released
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -35,14 +36,19 @@ class Tokens:
     apart. Texts where a space has white space on both sides are tokenised whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode
+    def __init__(self, path: str, most: int = 250_000):
+        self.path = path
         self.most = most
         self.known: dict[str, bytes] = {}
         self.fast, self.size = _ranked(path)
 
+    @cached_property
+    def encode(self):
+        """The tokeniser itself; it takes more memory than all else here, so it is read when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).encode
+
     def whole(self, text: str) -> bytes:
         ids = self.fast(text) if self.fast and "<|" not in text else self.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
@@ -146,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             names = rest + [c.split()[0] for c in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names + ["ids"] * with_ids)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 class Plan:
@@ -301,12 +307,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     def run(batches):
         import pyarrow as pa
 
+        forget()  # the token table is not needed to place pieces
         for batch in batches:
             length, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))
             sequence, offset = plan.value.place(length, rank)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
-from feedlake.llm import ann, common, mixing, simhash, similar
+from feedlake.llm import ann, common, mixing, packing, simhash, similar
 
 
 def test_nearest(spark):
@@ -149,3 +150,20 @@ def test_workers_drop_what_they_held():
     common.forget()
     assert common.held("one", lambda: 2) == 2 and list(common.released(iter([1, 2]))) == [1, 2]
     common.forget()
+
+
+def test_packing_reads_the_large_tokeniser_only_for_texts_that_need_it():
+    tokens = packing.Tokens(packing.default_tokenizer())
+    if not tokens.fast:
+        pytest.skip("no rank file beside the vocabulary")
+    assert len(tokens.of(["plain words only", None])[0]) == 12 and "encode" not in vars(tokens)
+    assert tokens.of(["<|endoftext|>"])[0] == np.array(tokens.encode("<|endoftext|>", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_mixing_keeps_its_plan_out_of_python_workers(spark):
+    docs = spark.createDataFrame([(k, "some words", s) for k, s in enumerate(["a", "b", None])], "doc_id long, text string, source string")
+    docs = common.durable(docs, "docs")  # a list is read in Python itself
+    for found in (mixing.mix_sizes(docs), mixing.mix(docs)):
+        assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert {r["doc_id"] for r in mixing.mix_sizes(docs).collect()} == {0, 1, 2}
+    assert mixing.mix_sizes(docs.limit(0)).count() == 0
