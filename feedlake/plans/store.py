@@ -546,7 +546,7 @@ class Store:
             if self.log.refresh().views.get(v.name):
                 new = new.join(self.view(v.name), list(v.columns), "left_anti")
             path = f"{self.root}/_catalog/mv/{v.name}/{uuid.uuid4().hex}"
-            new.coalesce(1).write.parquet(path)
+            new.write.parquet(path)
             out.append((v.name, path))
         return out
 

@@ -281,3 +281,18 @@ def test_layout(spark, store):
     assert keys.fnv32a("") == 0x811C9DC5 and keys.fnv32a("a") == 0xE40C292C and keys.fnv64a("a") == 0xAF63DC4C8601EC8C
     store.drop()
     assert not store.fs.exists(store.root)
+
+
+def test_views_are_staged_by_many_tasks(spark, tmp_path):
+    """The tuples of a write are made, compared and written in as many tasks as the shuffle has, not in one."""
+    view = MaterializedView("pairs", ("sku", "period"), F.array(F.struct("sku", "period")))
+    s = Store(spark, StoreConfig(str(tmp_path / "v"), SCHEMA, [("period", F.col("period"))], views=[view]))
+    s.init()
+    data = spark.range(40_000).select(F.lit("c").alias("customer"), F.sha2(F.col("id").cast("string"), 256).alias("sku"), F.lit("p").alias("period"), F.lit(1.0).alias("cost"), F.lit(1).cast("long").alias("version"))
+    for n in range(2):
+        s.write(data.where(F.col("version") + n > 0).unionAll(rows(spark, ("c", f"new{n}", "p", 1.0, 1))))
+        path = s.log.refresh().views["pairs"][n]
+        files = [p for p, size, _ in s.fs.walk(path) if p.endswith(".parquet")]
+        assert spark.read.parquet(path).count() == (40_001 if n == 0 else 1)
+        assert n or len(files) > 1
+    assert s.lookup("pairs").count() == 40_002
