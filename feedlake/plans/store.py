@@ -35,20 +35,77 @@ def _footer(path: str) -> tuple[int, int]:
     return found.num_rows, sum(found.row_group(g).column(c).total_uncompressed_size for g in range(found.num_row_groups) for c in range(found.num_columns))
 
 
+def _joiner(schema: T.StructType, codec: str) -> Callable:
+    """A function of Arrow batches with ``key`` and ``paths``: it joins each key's Parquet files in that order to one beside the ``into`` path, a few MB at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target, most = to_arrow_schema(schema), RUN_BYTES  # a worker may lack this module, so it takes values alone
+
+    def join(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        def at(path):
+            return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+        for batch in batches:
+            done = []
+            for into, paths in zip(batch.column("into").to_pylist(), batch.column("paths").to_pylist(), strict=True):
+                out, writer, held, size = f"{into}/_{uuid.uuid4().hex}.parquet", None, [], 0
+                for path in paths:
+                    system, inside = at(path)
+                    with system.open_input_file(inside) as f:
+                        source = pq.ParquetFile(f, coerce_int96_timestamp_unit="us")
+                        told = {k: v for k, v in (source.schema_arrow.metadata or {}).items() if k != b"ARROW:schema"}
+                        if writer is None:
+                            wanted = target.with_metadata(told)
+                            system, inside = at(out)
+                            writer = pq.ParquetWriter(inside, wanted, filesystem=system, compression="none" if codec == "uncompressed" else codec, store_decimal_as_integer=True)
+                        groups = [source.metadata.row_group(g) for g in range(source.metadata.num_row_groups)]
+                        width = sum(g.total_byte_size for g in groups) // max(1, source.metadata.num_rows)
+                        for part in source.iter_batches(max(1, min(1 << 16, (1 << 22) // max(1, width)))):
+                            held.append(part)
+                            size += part.nbytes
+                            if size >= most:
+                                writer.write_table(pa.Table.from_batches(held).cast(wanted))
+                                held, size = [], 0
+                if held:
+                    writer.write_table(pa.Table.from_batches(held).cast(wanted))
+                writer.close()
+                done.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(done, pa.string())], names=["key", "path"])
+
+    return join
+
+
 OFFSET_NONE, OFFSET_EARLIEST = 0, 1
+RUN_BYTES = 32 << 20  # of a file's bytes, what one task puts in order; in memory, a row group of joined files
 BROADCAST_FILES = 50_000
 _ZERO = {T.StringType: "", T.BinaryType: b"", T.BooleanType: False}
 
 
+_guard = threading.Lock()
+_held: dict[tuple[int, str], list] = {}  # settings in use: by how many, and the value before
+
+
 @contextmanager
 def _setting(spark: SparkSession, name: str, value: object):
-    """A session setting for a while."""
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(value))
+    """A session setting for a while; threads that need it at once share it, and the last one restores what was."""
+    with _guard:
+        held = _held.setdefault((id(spark), name), [0, spark.conf.get(name)])
+        held[0] += 1
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with _guard:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(name, held[1])
+                del _held[id(spark), name]
 
 
 class Store:
@@ -129,6 +186,10 @@ class Store:
 
     # -- reads ----------------------------------------------------------------------------------
 
+    def _many_paths(self):
+        """Many explicit paths are looked up by a few tasks, not by one task each."""
+        return _setting(self.spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * self.spark.sparkContext.defaultParallelism)
+
     def scan(self, refs: DataFrame) -> DataFrame:
         """Records of the references' files, raw, with ``_partition_key``, ``_file``, ``_row``, ``_file_id``, ``_offset`` and ``_file_version``.
 
@@ -142,8 +203,7 @@ class Store:
         if not paths:
             empty = self.spark.createDataFrame([], schema).withColumns({"_file": F.lit(""), "_row": F.lit(0).cast("long")})
             return empty.join(told, "_file")
-        # many explicit paths are looked up by a few tasks, not by one task each
-        with _setting(self.spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * self.spark.sparkContext.defaultParallelism):
+        with self._many_paths():
             opened = self.spark.read.schema(schema).parquet(*paths)
         rows = opened.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         if self.config.missing_as_zero:
@@ -391,23 +451,65 @@ class Store:
         return [fresh[k] if k in fresh else state.files[state.tokens[k, of[k]]] for k in sorted({*staged, *known})]
 
     def _stage(self, tagged: DataFrame, folder: str, columns: list[str], order_by: Sequence[Column]) -> dict[str, tuple[str, int]]:
-        """Write one file per partition aside; key to (path, bytes)."""
+        """Write one file per partition aside; key to (path, bytes).
+
+        A partition too large for one task is dealt to several by runs of the input's tasks, whose
+        files are then joined; where rows have an order of their own, they are dealt again by its ranges.
+        """
         order = list(order_by) or [F.col("_input_row")]
         placed = tagged.withColumn("_input_row", F.monotonically_increasing_id())
         # a fixed number of tasks: adaptive merging would write the small partitions' files one after another
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
-        placed = placed.repartition(tasks, *columns).sortWithinPartitions(*columns, *order).drop("_input_row")
-        placed.write.option("compression", self.config.codec).option("maxRecordsPerFile", 0).partitionBy(*columns).parquet(folder)
-        staged: dict[str, tuple[str, int]] = {}
+        adaptive = self.spark.conf.get("spark.sql.adaptive.enabled") == "true"
+        placed = placed.hint("rebalance", tasks, *columns) if adaptive else placed.repartition(tasks, *columns)
+        with _setting(self.spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+            self._write_pieces(placed.sortWithinPartitions(*columns, *order).drop("_input_row"), folder, columns)
+        pieces = self._pieces(folder, columns)
+        split = {k: found for k, found in pieces.items() if len(found) > 1}
+        if split:
+            self._join(split, folder, columns, order_by)
+            pieces |= {k: found for k, found in self._pieces(folder, columns).items() if k in split}
+        return {k: found[0] for k, found in pieces.items()}
+
+    def _write_pieces(self, rows: DataFrame, folder: str, columns: list[str]) -> None:
+        rows.write.option("compression", self.config.codec).option("maxRecordsPerFile", 0).partitionBy(*columns).parquet(folder)
+
+    def _pieces(self, folder: str, columns: list[str]) -> dict[str, list[tuple[str, int]]]:
+        """(path, bytes) of each partition's files in the order of the tasks that wrote them."""
+        found: dict[str, list[tuple[str, int]]] = {}
         for path, size, _ in self.fs.walk(folder):
-            if path.endswith(".parquet"):
-                folders = path.split("/")[-1 - len(columns) : -1]
+            *folders, name = path.split("/")[-1 - len(columns) :]
+            if name.endswith(".parquet") and name[0] not in "._":
                 key = format_key(self.config.part_names, [unquote(f.split("=", 1)[1]) for f in folders])
                 parse_key(key, self.config.part_names)
-                if key in staged:
-                    raise RuntimeError(f"partition {key} was written in two files")
-                staged[key] = path, size
-        return staged
+                found.setdefault(key, []).append((path, size))
+        return {k: sorted(files, key=lambda f: int(f[0].rsplit("/", 1)[1].split("-")[1])) if len(files) > 1 else files for k, files in found.items()}
+
+    def _join(self, split: dict[str, list[tuple[str, int]]], folder: str, columns: list[str], order_by: Sequence[Column]) -> None:
+        """Put one file in the place of each partition's several."""
+        pieces, aside = split, f"{folder}-ordered"
+        try:
+            if order_by:
+                schema = T.StructType([*self.config.schema.fields, *(T.StructField(c, T.StringType()) for c in columns)])
+                paths = [path for found in split.values() for path, _ in found]
+                with self._many_paths():
+                    rows = self.spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+                # equal rows, too, are dealt to several tasks
+                placed = rows.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+                by = [*columns, *order_by, "_file", "_row"]
+                tasks = 1 + sum(size for found in split.values() for _, size in found) // RUN_BYTES
+                self._write_pieces(placed.repartitionByRange(tasks, *by).sortWithinPartitions(*by).drop("_file", "_row"), aside, columns)
+                pieces = self._pieces(aside, columns)
+            places = {k: found[0][0].rsplit("/", 1)[0] for k, found in split.items()}
+            listed = self.spark.createDataFrame([(k, places[k], [path for path, _ in found]) for k, found in pieces.items()], "key string, into string, paths array<string>")
+            nullable = self.spark.read.schema(self.config.schema).parquet(next(iter(split.values()))[0][0]).schema
+            joined = listed.repartition(len(pieces)).mapInArrow(_joiner(nullable, self.config.codec), "key string, path string").collect()
+            for r in joined:
+                self.fs.move(r["path"], f"{places[r['key']]}/{r['path'].rsplit('/_', 1)[1]}")
+            for path in (path for found in split.values() for path, _ in found):
+                self.fs.delete(path)
+        finally:
+            self.fs.delete(aside)
 
     def _marker(self, path: str) -> str:
         return f"{self.root}/_catalog/pending/{path.rsplit('/', 1)[1]}.json"

@@ -296,3 +296,37 @@ def test_views_are_staged_by_many_tasks(spark, tmp_path):
         assert spark.read.parquet(path).count() == (40_001 if n == 0 else 1)
         assert n or len(files) > 1
     assert s.lookup("pairs").count() == 40_002
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_a_hot_partition_is_written_by_many_tasks(spark, tmp_path, ordered):
+    """No task writes a whole hot partition; its one file has all rows, in order, with every type as it was."""
+    kinds = "id bigint, at timestamp, ntz timestamp_ntz, day date, price decimal(12,2), big decimal(38,6), raw binary, small tinyint, tags array<string>, deep struct<a:int,t:timestamp>, m map<string,int>, text string, p string"
+    schema = T._parse_datatype_string(kinds)
+    schema["id"].nullable, schema["tags"].dataType.containsNull = False, False
+    data = spark.range(60_000, numPartitions=8).selectExpr(
+        "id", "timestamp_micros(id * 1000003 - 5000000000) at", "cast(timestamp_micros(id) as timestamp_ntz) ntz", "date_add(date'1900-01-01', cast(id % 90000 as int)) day", "cast(id as decimal(12,2)) / 100 price",
+        "cast(id as decimal(38,6)) big", "cast(cast(id as string) as binary) raw", "cast(id % 100 as tinyint) small", "array(cast(id as string)) tags", "struct(cast(id as int) a, timestamp_micros(id) t) deep", "map('k', cast(id as int)) m",
+        "if(id % 7 = 0, null, sha2(cast(id as string), 256)) text", "if(id = 5, 'cold', 'hot') p",
+    )
+    data = data.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+    s = Store(spark, StoreConfig(str(tmp_path / "h"), schema, [("p", F.col("p"))]))
+    s.init()
+    joined = []
+    s._join = lambda split, *rest: (joined.append({k: len(v) for k, v in split.items()}), Store._join(s, split, *rest))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        s.write(data, order_by=[F.col("small").desc(), F.col("text").desc()] if ordered else [])
+        assert joined and joined[0]["p=hot"] > 3
+        files = {r["partition_key"]: r["record_count"] for r in s.files().collect()}
+        assert files == {"p=cold": 1, "p=hot": 59_999} and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+        assert not [p for p, _, _ in s.fs.walk(f"{s.root}/_staging")]
+        whole = s.read(And()).select(*schema.names, "_row", "_partition_key")
+        assert whole.drop("_row", "_partition_key", "m").exceptAll(data.drop("m")).count() == 0 and whole.where("m['k'] = id").count() == 60_000
+        found = whole.where("p = 'hot'").orderBy("_row").select("id", "small", "text").collect()
+        if ordered:
+            assert [(r[1], r[2] or "") for r in found] == sorted(((r[1], r[2] or "") for r in found), reverse=True)
+        else:
+            assert [r[0] for r in found] == sorted(r[0] for r in found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
