@@ -229,17 +229,20 @@ class Store:
         """Records of files written in a time range; versions compete among those files only."""
         return self.read_refs(self.resolve_range(since, until), with_history)
 
-    def partitions(self, refs: DataFrame, with_history: bool = False) -> DataFrame:
-        """A row for each partition: its key, version, file references and records, the latter as arrays."""
+    def partitions(self, refs: DataFrame, with_history: bool = False, of: dict[str, Column] | None = None) -> DataFrame:
+        """A row for each partition: its key, version, file references and records, the latter as arrays; with ``of``, these aggregates in place of the records."""
         summary = refs.groupBy("partition_key").agg(F.max("version").alias("version"), F.sort_array(F.collect_list(F.struct("s3_key", "file_id", "version", "offset"))).alias("files"))
         rows = self.read_refs(refs, with_history)
+        if of:
+            made = rows.groupBy(F.col("_partition_key").alias("partition_key")).agg(*(c.alias(n) for n, c in of.items()))
+            return summary.join(made, "partition_key", "left")
         fields = F.struct("_file", "_row", F.struct(*self.config.schema.names).alias("r"))
         order = F.struct("_entity", "_version", "_file", "_row", fields.alias("f")) if "_entity" in rows.columns else F.struct("_file", "_row", fields.alias("f"))
         records = rows.groupBy(F.col("_partition_key").alias("partition_key")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["f"]["r"]).alias("records"))
         return summary.join(records, "partition_key", "left")
 
-    def read_partitions(self, *filters: Filter, with_history: bool = False) -> DataFrame:
-        return self.partitions(self.resolve(*filters), with_history)
+    def read_partitions(self, *filters: Filter, with_history: bool = False, of: dict[str, Column] | None = None) -> DataFrame:
+        return self.partitions(self.resolve(*filters), with_history, of)
 
     def ordered(self, rows: DataFrame) -> DataFrame:
         """Partitions in key order, then entities and versions, or files and rows where there are none."""
@@ -250,8 +253,9 @@ class Store:
         """Records one by one, a partition of the plan at a time in memory."""
         return self.ordered(self.read(*filters, with_history=with_history)).toLocalIterator(prefetchPartitions=True)
 
-    def read_partition_iter(self, *filters: Filter, with_history: bool = False) -> Iterator[Row]:
-        return self.read_partitions(*filters, with_history=with_history).orderBy("partition_key").toLocalIterator()
+    def read_partition_iter(self, *filters: Filter, with_history: bool = False, of: dict[str, Column] | None = None) -> Iterator[Row]:
+        """Partitions in key order. All records of a partition come to the driver with it; with ``of``, only these aggregates of them, by name, do."""
+        return self.read_partitions(*filters, with_history=with_history, of=of).orderBy("partition_key").toLocalIterator()
 
     def read_partition_refs_iter(self, refs: DataFrame, with_history: bool = False) -> Iterator[tuple[str, int, list[Row], Callable[[], DataFrame]]]:
         """For each partition of resolved references, in key order: its key, version, references, and a function that gives its records, in order.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.operators.filters import And
 from feedlake.plans import fixtures, queries
+from feedlake.plans.store import Store
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +43,19 @@ def test_occ_writes_the_whole_table(spark, orders):
     assert [tuple(r) for r in queries.q19_occ_chain(spark, orders).collect()] == [("order_month=1996-03/priority=5-LOW", 4)]
     counts = keys(fixtures.store(spark, orders, "or_raw_occ", 1, None).read(And()))
     assert all(counts[k] == 3 + (k is not None and k % 4 == 0) for k in range(45)) and counts[None] == 9
+
+
+def test_partitions_come_to_the_driver_without_records(spark, orders, monkeypatch):
+    """q44 takes each partition's aggregates, whatever the number of its records."""
+    taken, partitions = [], Store.partitions
+    monkeypatch.setattr(Store, "partitions", lambda self, *a, **k: taken.append(partitions(self, *a, **k)) or taken[-1])
+    found = {r["partition_key"]: (r["n_records"], r["keys"]) for r in queries.q44_read_partition_iter(spark, orders).collect()}
+    assert taken[0].columns == ["partition_key", "version", "files", "n_records", "keys"]
+    want = {}
+    for r in spark.read.parquet(f"{orders}/orders.parquet").collect():
+        key = f"order_month={r['o_orderdate']:%Y-%m}/priority={r['o_orderpriority']}"
+        n, total = want.get(key, (0, 0))
+        want[key] = n + 1, total + (r["o_orderkey"] or 0)
+    assert found == want
+    whole = fixtures.store(spark, orders, "or_raw").read_partition_iter(And())
+    assert {r["partition_key"]: len(r["records"]) for r in whole} == {k: n for k, (n, _) in want.items()}
