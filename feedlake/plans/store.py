@@ -39,7 +39,7 @@ def _joiner(schema: T.StructType, codec: str) -> Callable:
     """A function of Arrow batches with ``key`` and ``paths``: it joins each key's Parquet files in that order to one beside the ``into`` path, a few MB at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    target, most = to_arrow_schema(schema), RUN_BYTES  # a worker may lack this module, so it takes values alone
+    target, most = to_arrow_schema(schema), GROUP_BYTES  # a worker may lack this module, so it takes values alone
 
     def join(batches):
         import uuid
@@ -82,7 +82,8 @@ def _joiner(schema: T.StructType, codec: str) -> Callable:
 
 
 OFFSET_NONE, OFFSET_EARLIEST = 0, 1
-RUN_BYTES = 32 << 20  # of a file's bytes, what one task puts in order; in memory, a row group of joined files
+SORTED_RECORDS, SORTED_BYTES = 500_000, 256 << 20  # what one task of a read sorts, about; bytes are uncompressed
+RUN_BYTES, GROUP_BYTES = 16 << 20, 64 << 20  # of a hot partition's files, what one task puts in order; in memory, a row group of joined files
 BROADCAST_FILES = 50_000
 _ZERO = {T.StringType: "", T.BinaryType: b"", T.BooleanType: False}
 
@@ -195,31 +196,43 @@ class Store:
 
         Files are opened by path: nothing is listed, and a missing one is an error.
         """
-        paths = [r["s3_key"] for r in refs.select("s3_key").collect()]
+        return self._scan(refs)[0]
+
+    def _scan(self, refs: DataFrame) -> tuple[DataFrame, int]:
+        """``scan``, and how many tasks its records need to be sorted in runs of bounded memory; 0 if few enough for any."""
+        sizes = [c for c in ("record_count", "uncompressed_size") if c in refs.columns]
+        listed = refs.select("s3_key", *sizes).collect()
+        paths = [r["s3_key"] for r in listed]
+        records, size = (sum(r[c] or 0 for r in listed) if c in sizes else 0 for c in ("record_count", "uncompressed_size"))
+        tasks = 0 if records < SORTED_RECORDS and size < SORTED_BYTES else 1 + max(records // SORTED_RECORDS, size // SORTED_BYTES)
         if foreign := [p for p in paths if not p.startswith(self.data + "/")]:
             raise ForeignFile(f"not under {self.data}: {foreign[:5]}")
         schema = self.config.schema
         told = refs.select(F.substring_index("s3_key", "/", -1).alias("_file"), F.col("partition_key").alias("_partition_key"), F.col("file_id").alias("_file_id"), F.coalesce("feed_seq", F.lit(0)).alias("_offset"), F.col("version").alias("_file_version"))
         if not paths:
             empty = self.spark.createDataFrame([], schema).withColumns({"_file": F.lit(""), "_row": F.lit(0).cast("long")})
-            return empty.join(told, "_file")
+            return empty.join(told, "_file"), 0
         with self._many_paths():
             opened = self.spark.read.schema(schema).parquet(*paths)
         rows = opened.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         if self.config.missing_as_zero:
             rows = rows.withColumns({f.name: F.coalesce(f.name, F.lit(_ZERO.get(type(f.dataType), 0)).cast(f.dataType)) for f in schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))})
-        return rows.join(F.broadcast(told) if len(paths) <= BROADCAST_FILES else told, "_file")
+        return rows.join(F.broadcast(told) if len(paths) <= BROADCAST_FILES else told, "_file"), tasks
 
-    def _deduplicated(self, rows: DataFrame, with_history: bool) -> DataFrame:
+    def _deduplicated(self, rows: DataFrame, with_history: bool, tasks: int) -> DataFrame:
         c = self.config
         if c.entity is None:
             return rows
         keyed = rows.withColumns({"_entity": c.entity.cast("string"), "_version": c.version.cast("long")})
+        if tasks > 1:
+            # a group limit before the exchange would sort all records of a split, which holds more the fewer columns are read
+            keyed = keyed.repartition(max(tasks, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "_partition_key", "_entity")
         return dedup.history(keyed) if with_history else dedup.latest(keyed)
 
     def read_refs(self, refs: DataFrame, with_history: bool = False) -> DataFrame:
         """Records of resolved references: the latest version of each entity in each partition, or its history."""
-        return self._deduplicated(self.scan(refs), with_history)
+        rows, tasks = self._scan(refs)
+        return self._deduplicated(rows, with_history, tasks)
 
     def read(self, *filters: Filter, with_history: bool = False) -> DataFrame:
         """Records of partitions that hold all filters; without a filter, none. Call ``ordered`` for a stable order."""
@@ -501,7 +514,7 @@ class Store:
                 # equal rows, too, are dealt to several tasks
                 placed = rows.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
                 by = [*columns, *order_by, "_file", "_row"]
-                tasks = 1 + sum(size for found in split.values() for _, size in found) // RUN_BYTES
+                tasks = max(1 + sum(size for found in split.values() for _, size in found) // RUN_BYTES, self.spark.sparkContext.defaultParallelism)
                 self._write_pieces(placed.repartitionByRange(tasks, *by).sortWithinPartitions(*by).drop("_file", "_row"), aside, columns)
                 pieces = self._pieces(aside, columns)
             places = {k: found[0][0].rsplit("/", 1)[0] for k, found in split.items()}

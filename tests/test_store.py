@@ -330,3 +330,17 @@ def test_a_hot_partition_is_written_by_many_tasks(spark, tmp_path, ordered):
             assert [r[0] for r in found] == sorted(r[0] for r in found)
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_large_reads_are_dealt_before_they_are_sorted(spark, store, monkeypatch):
+    """Tasks that deduplicate grow with the records, and no split is sorted whole; the rows stay the same."""
+    store.write(rows(spark, *(("a", f"s{n % 60}", "p", float(n), n % 3) for n in range(240))))
+    few = {history: sorted(map(tuple, store.read(And(), with_history=history).drop("_row").collect())) for history in (False, True)}
+    monkeypatch.setattr("feedlake.plans.store.SORTED_RECORDS", 10)
+    for history, want in few.items():
+        found = store.read(And(), with_history=history)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "25" in plan.split("REPARTITION_BY_NUM")[0].rsplit("hashpartitioning", 1)[1]
+        assert sorted(map(tuple, found.drop("_row").collect())) == want
+        done = found._jdf.queryExecution().executedPlan().toString()
+        assert done.index("Sort") < done.index("REPARTITION_BY_NUM") and "Sort" not in done[done.rindex("REPARTITION_BY_NUM"):]
